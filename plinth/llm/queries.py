@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import common, packing, repair
+from . import common, decontaminate, packing, repair, simhash
 
 
 def op5_vector_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -19,5 +19,14 @@ def op6_repair_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repair.read_store(spark, path).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
 
 
-QUERIES = {f.__name__: f for f in (op5_vector_packing, op6_repair_ids)}
+def op9_simhash_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = simhash.near_duplicates(common.table(spark, sf_dir, "documents"))
+    return found.select("doc_id", F.lower(F.lpad(F.hex("fingerprint"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.matches(common.table(spark, sf_dir, "documents"), common.table(spark, sf_dir, "benchmark"))
+
+
+QUERIES = {f.__name__: f for f in (op5_vector_packing, op6_repair_ids, op9_simhash_classes, op10_decontamination)}
 ORACLES: dict[str, str] = {}
