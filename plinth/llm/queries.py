@@ -5,7 +5,16 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import common, decontaminate, packing, repair, simhash
+from . import common, decontaminate, packing, quality, repair, simhash
+
+
+THRESHOLD = 0.7
+
+
+def op2_factorisation_machine(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = common.table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = quality.train(docs, common.table(spark, sf_dir, "labels"))
+    return quality.score(docs, model).select("doc_id", quality.held_out().alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))
 
 
 def op5_vector_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -28,5 +37,5 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.matches(common.table(spark, sf_dir, "documents"), common.table(spark, sf_dir, "benchmark"))
 
 
-QUERIES = {f.__name__: f for f in (op5_vector_packing, op6_repair_ids, op9_simhash_classes, op10_decontamination)}
+QUERIES = {f.__name__: f for f in (op2_factorisation_machine, op5_vector_packing, op6_repair_ids, op9_simhash_classes, op10_decontamination)}
 ORACLES: dict[str, str] = {}
