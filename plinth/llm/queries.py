@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import common, decontaminate, packing, quality, repair, simhash
+from . import common, decontaminate, lines, packing, quality, repair, simhash
 
 
 THRESHOLD = 0.7
@@ -17,6 +17,12 @@ def op2_factorisation_machine(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score(docs, model).select("doc_id", quality.held_out().alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))
 
 
+def op3_line_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = common.table(spark, sf_dir, "documents").select("doc_id", "text")
+    kept = lines.dedup(docs, count_col="lines_removed")
+    return kept.select("doc_id", "lines_removed", F.length("text").cast("long").alias("n_chars"), F.sha2(F.col("text"), 256).alias("text_sha256"))
+
+
 def op5_vector_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     packed = packing.pack_documents(common.table(spark, sf_dir, "documents"))
     return packed.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
@@ -37,5 +43,5 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.matches(common.table(spark, sf_dir, "documents"), common.table(spark, sf_dir, "benchmark"))
 
 
-QUERIES = {f.__name__: f for f in (op2_factorisation_machine, op5_vector_packing, op6_repair_ids, op9_simhash_classes, op10_decontamination)}
+QUERIES = {f.__name__: f for f in (op2_factorisation_machine, op3_line_minhash, op5_vector_packing, op6_repair_ids, op9_simhash_classes, op10_decontamination)}
 ORACLES: dict[str, str] = {}
