@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import common, decontaminate, lines, packing, quality, repair, simhash
+from . import common, decontaminate, lines, packing, quality, repair, simhash, winnow
 
 
 THRESHOLD = 0.7
@@ -23,6 +23,27 @@ def op3_line_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.select("doc_id", "lines_removed", F.length("text").cast("long").alias("n_chars"), F.sha2(F.col("text"), 256).alias("text_sha256"))
 
 
+def op4_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = winnow.with_next(common.table(spark, sf_dir, "documents"))
+    n = F.length("text")
+    cut = (n / 4).cast("int")  # floor, as lengths are not negative
+    rows = rows.withColumn("edited", F.concat(F.left("text", n - cut), F.left("head", cut)))
+    rows = rows.withColumn("edited_chosen", winnow.fingerprint(F.col("edited")))
+
+    def digest(chosen: str):
+        return F.sha2(F.concat_ws(" ", F.col(chosen).cast("array<string>")).cast("binary"), 256)
+
+    return rows.select(
+        "doc_id",
+        n.cast("long").alias("n_chars"),
+        F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"),
+        digest("chosen").alias("fingerprint"),
+        digest("edited_chosen").alias("edited_fingerprint"),
+        winnow.likeness(F.col("chosen"), F.col("edited_chosen")).alias("near_edited"),
+        winnow.likeness(F.col("chosen"), F.col("next_chosen")).alias("near_next"),
+    )
+
+
 def op5_vector_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     packed = packing.pack_documents(common.table(spark, sf_dir, "documents"))
     return packed.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
@@ -43,5 +64,5 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.matches(common.table(spark, sf_dir, "documents"), common.table(spark, sf_dir, "benchmark"))
 
 
-QUERIES = {f.__name__: f for f in (op2_factorisation_machine, op3_line_minhash, op5_vector_packing, op6_repair_ids, op9_simhash_classes, op10_decontamination)}
+QUERIES = {f.__name__: f for f in (op2_factorisation_machine, op3_line_minhash, op4_winnowing, op5_vector_packing, op6_repair_ids, op9_simhash_classes, op10_decontamination)}
 ORACLES: dict[str, str] = {}

@@ -16,7 +16,7 @@ component of its fingerprint (null if no row of it has an id); an empty table gi
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import combinations
 
 import numpy as np
@@ -48,14 +48,33 @@ def shingle_hashes(words: list[bytes], size: int, seed: int) -> list[int]:
     return [digest(g, seed) for g in map(b" ".join, zip(*(words[i:] for i in range(size)), strict=False))]
 
 
+def bit_counts(hashes: np.ndarray) -> np.ndarray:
+    """How many of the hashes (axis 0) have each bit, the highest first: shape (..., 64)."""
+    planes = [np.ascontiguousarray(hashes)]
+    for _ in range(4):  # sums of 2, 4, 8 and 16 hashes as bit planes, before bits are unpacked
+        if len(planes[0]) < 64:
+            break
+        if len(planes[0]) % 2:
+            planes = [np.concatenate([p, np.zeros_like(p[:1])]) for p in planes]
+        carry, out = np.uint64(0), []
+        for p in planes:
+            x, y = p[::2], p[1::2]
+            half = x ^ y
+            out.append(half ^ carry)
+            carry = (x & y) | (half & carry)
+        planes = [*out, carry]
+    total = 0
+    for k, p in enumerate(planes):
+        bits = np.unpackbits(np.ascontiguousarray(p.astype(">u8")).view(np.uint8).reshape(*p.shape, 8), axis=-1)
+        total = total + (bits.sum(0, dtype=np.int64) << k)
+    return total
+
+
 def majority(hashes: np.ndarray) -> int:
     """Bit k is set if more than half of the hashes have it; no hashes: zero."""
     if not len(hashes):
         return 0
-    count = np.zeros(64, dtype=np.int64)
-    for at in range(0, len(hashes), CHUNK):
-        part = np.ascontiguousarray(hashes[at : at + CHUNK].astype(">u8"))
-        count += np.unpackbits(part.view(np.uint8).reshape(-1, 8), axis=1).sum(0, dtype=np.int64)
+    count = sum(bit_counts(hashes[at : at + CHUNK]) for at in range(0, len(hashes), CHUNK))
     return int.from_bytes(np.packbits(2 * count > len(hashes)).tobytes(), "big")
 
 
@@ -83,27 +102,58 @@ def masks(blocks: int, radius: int) -> list[int]:
     return [sum(chosen) for chosen in combinations(parts, blocks - radius)]
 
 
-def forest(prints: np.ndarray, table: np.ndarray, radius: int) -> list[tuple[int, int]]:
-    """A spanning forest of the links among fingerprints: each reached one looks among those not yet reached."""
-    free = np.arange(len(prints))
+def spanning(n: int, near: Callable[[int, np.ndarray], np.ndarray]) -> list[tuple[int, int]]:
+    """A spanning forest of n items: each reached one looks among those not yet reached, by near(x, free)."""
+    free = np.arange(n)
     out: list[tuple[int, int]] = []
     while len(free):
         front, free = [int(free[0])], free[1:]
         while front and len(free):
             x = front.pop()
-            near = free
-            for k in range(table.shape[1]):
-                near = near[np.abs(table[near, k] - table[x, k]) <= radius]
-                if not len(near):
-                    break
-            near = near[np.bitwise_count(prints[near] ^ prints[x]) <= radius]
-            if len(near):
-                out += [(x, int(y)) for y in near]
-                front += near.tolist()
-                free = np.setdiff1d(free, near, assume_unique=True)
+            found = near(x, free)
+            if len(found):
+                out += [(x, int(y)) for y in found]
+                front += found.tolist()
+                free = np.setdiff1d(free, found, assume_unique=True)
     return out
 
 
+def forest(prints: np.ndarray, reference: np.ndarray, radius: int) -> list[tuple[int, int]]:
+    """Spanning links among fingerprints: the pivot table discards pairs, the rest are verified."""
+    table = np.bitwise_count(prints[:, None] ^ reference[None, :]).astype(np.int16)
+
+    def near(x: int, free: np.ndarray) -> np.ndarray:
+        for k in range(table.shape[1]):
+            free = free[np.abs(table[free, k] - table[x, k]) <= radius]
+            if not len(free):
+                return free
+        return free[np.bitwise_count(prints[free] ^ prints[x]) <= radius]
+
+    return spanning(len(prints), near)
+
+
+def whole_runs(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[list[np.ndarray]]:
+    """Sorted number columns in parts that never end within a run of the first ``keys`` columns."""
+    rest: list[np.ndarray] | None = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        now = [batch.column(i).to_numpy() for i in range(batch.num_columns)]
+        if rest is not None:
+            now = [np.concatenate(x) for x in zip(rest, now, strict=True)]
+        end = int(np.argmax(np.logical_and.reduce([x == x[-1] for x in now[:keys]])))
+        rest = [x[end:] for x in now]  # the last key may go on in the next batch
+        if end:
+            yield [x[:end] for x in now]
+    if rest is not None:
+        yield rest
+
+
+def run_starts(columns: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    starts = np.flatnonzero(np.r_[True, np.logical_or.reduce([x[1:] != x[:-1] for x in columns])])
+    return starts, np.diff(np.r_[starts, len(columns[0])])
+
+
 def links(nodes: DataFrame, radius: int = 3, blocks: int = 6) -> DataFrame:
     """Links between distinct fingerprints: nodes has long columns (fingerprint, node); gives pairs (a, b) of nodes."""
     keys = F.explode(F.array(*[F.struct(F.lit(i).cast("tinyint").alias("c"), F.col("fingerprint").bitwiseAND(F.lit(m - (1 << 64) if m >> 63 else m)).alias("key")) for i, m in enumerate(masks(blocks, radius))]))
@@ -112,45 +162,27 @@ def links(nodes: DataFrame, radius: int = 3, blocks: int = 6) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         reference = pivots()
-        rest: list[np.ndarray] | None = None
-
-        def of(c, key, prints, node) -> pa.RecordBatch:
-            starts = np.flatnonzero(np.r_[True, (c[1:] != c[:-1]) | (key[1:] != key[:-1])])
-            sizes = np.diff(np.r_[starts, len(c)])
-            a, b = [], []
+        none = np.zeros(0, dtype=np.int64)
+        for c, key, prints, node in whole_runs(batches, 2):
+            prints = prints.view(np.uint64)
+            starts, sizes = run_starts([c, key])
+            a, b = [none], [none]
             pairs = starts[sizes == 2]
-            if len(pairs):
-                x, y = prints[pairs], prints[pairs + 1]
-                near = np.ones(len(pairs), dtype=bool)
-                for p in reference:
-                    near &= np.abs(np.bitwise_count(x ^ p).astype(np.int16) - np.bitwise_count(y ^ p)) <= radius
-                near &= np.bitwise_count(x ^ y) <= radius
-                a.append(node[pairs[near]])
-                b.append(node[pairs[near] + 1])
+            x, y = prints[pairs], prints[pairs + 1]
+            near = np.ones(len(pairs), dtype=bool)
+            for p in reference:
+                near &= np.abs(np.bitwise_count(x ^ p).astype(np.int16) - np.bitwise_count(y ^ p)) <= radius
+            near &= np.bitwise_count(x ^ y) <= radius
+            a.append(node[pairs[near]])
+            b.append(node[pairs[near] + 1])
             for at, n in zip(starts[sizes > 2].tolist(), sizes[sizes > 2].tolist(), strict=True):
-                own = prints[at : at + n]
-                table = np.bitwise_count(own[:, None] ^ reference[None, :]).astype(np.int16)
-                if tree := forest(own, table, radius):
+                if tree := forest(prints[at : at + n], reference, radius):
                     tree = np.array(tree)
                     a.append(node[at + tree[:, 0]])
                     b.append(node[at + tree[:, 1]])
-            none = np.zeros(0, dtype=np.int64)
-            return pa.RecordBatch.from_arrays([pa.array(np.concatenate([none, *a])), pa.array(np.concatenate([none, *b]))], names=["a", "b"])
-
-        for batch in batches:
-            new = [batch.column(0).to_numpy(), batch.column(1).to_numpy(), batch.column(2).to_numpy().view(np.uint64), batch.column(3).to_numpy()]
-            if not len(new[0]):
-                continue
-            now = new if rest is None else [np.concatenate(x) for x in zip(rest, new, strict=True)]
-            same = (now[0] == now[0][-1]) & (now[1] == now[1][-1])
-            end = int(np.argmax(same))  # the last key may go on in the next batch
-            rest = [x[end:] for x in now]
-            if end:
-                yield of(*(x[:end] for x in now))
-        if rest is not None:
-            yield of(*rest)
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(a)), pa.array(np.concatenate(b))], names=["a", "b"])
 
-    return common.arrow_map(rows, run, "a long, b long").where("a is not null")
+    return common.arrow_map(rows, run, "a long, b long")
 
 
 def classes(prints: DataFrame, id_col: str = "doc_id", radius: int = 3, blocks: int = 6) -> DataFrame:
@@ -168,3 +200,131 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """Fingerprints every whole text and gives its class: rows (id, fingerprint, component_id)."""
     prints = common.stash(fingerprints(docs, id_col, text_col, shingle, seed), "simhash")
     return classes(prints, id_col, radius, blocks)
+
+
+WIDE_BANDS, WIDE_BITS, WIDE_RADIUS = 48, 24, 20
+
+
+def word_shingles(words: list[bytes], size: int) -> np.ndarray:
+    """The distinct hashes of word shingles (all words, where there are fewer), rolled over word hashes."""
+    h = np.array([xxhash.xxh3_64_intdigest(w) for w in words], dtype=np.uint64)
+    out = np.zeros(max(1, len(h) - size + 1) if len(h) else 0, dtype=np.uint64)
+    for i in range(min(size, len(h))):
+        out = out * np.uint64(0x9E3779B97F4A7C15) + h[i : i + len(out)]
+    return np.unique((out ^ (out >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9))
+
+
+def wide(hashes: np.ndarray) -> np.ndarray:
+    """A SimHash of many 64-bit words from each hash mixed anew per word; none: all zero."""
+    n = 1 + WIDE_BANDS * WIDE_BITS // 64
+    if not len(hashes):
+        return np.zeros(n, dtype=np.uint64)
+    salt = (np.arange(1, n + 1, dtype=np.uint64) * np.uint64(0xD6E8FEB86659FD93))[None, :]
+    count = 0
+    for at in range(0, len(hashes), CHUNK // 8):
+        x = hashes[at : at + CHUNK // 8, None] ^ salt
+        x = (x ^ (x >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
+        x = (x ^ (x >> np.uint64(32))) * np.uint64(0x9E3779B97F4A7C15)
+        count = count + bit_counts(x ^ (x >> np.uint64(32)))
+    return np.packbits(2 * count > len(hashes), axis=-1).view(">u8").astype(np.uint64).ravel()
+
+
+def similar_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, least: float = 0.8) -> DataFrame:
+    """Rows (id, component_id): classes of texts whose word shingle sets have Jaccard ``least`` or more.
+
+    SimHash finds them: 1152 bits over three-word shingles are cut into 48 bands of 24 bits; texts that
+    share a band, and differ in at most 20 bits of 64 more (pivot table, then verified), are candidates,
+    and their exact similarity decides. At similarity 0.8 a pair shares a band with probability 0.93, at
+    0.85 0.98, at 0.9 0.999. Equal word sequences are one node. Rows without an id are left out.
+    """
+    kind = docs.schema[id_col].dataType.simpleString()
+
+    def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 2000):
+                part = batch.slice(at, 2000)
+                same, prints = [], []
+                for t in part.column(1).cast(pa.binary()):
+                    words = words_of(t.as_py() or b"")
+                    same.append(xxhash.xxh3_128_digest(b" ".join(words)))
+                    prints.append(wide(word_shingles(words, 3)).tobytes())
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(same, pa.binary()), pa.array(prints, pa.binary())], names=["id", "same", "wide"])
+
+    signed = common.arrow_map(docs.select(id_col, text_col).where(F.col(id_col).isNotNull()), sign, f"id {kind}, same binary, wide binary")
+    signed = common.stash(signed, "wide-prints")
+    nodes = signed.groupBy("same").agg(F.min("id").alias("node"))
+    nodes = common.stash(nodes, "wide-nodes")
+    own = signed.select("id", "same", "wide").join(nodes.select(F.col("same").alias("s"), "node"), (F.col("same") == F.col("s")) & (F.col("id") == F.col("node")), "left_semi")
+    own = own.dropDuplicates(["id"]).select(F.col("id").cast("long").alias("node"), "wide")
+
+    def bands(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 1000):
+                part = batch.slice(at, 1000)
+                raw = np.frombuffer(b"".join(part.column(1).to_pylist()), dtype=np.uint64).reshape(part.num_rows, -1)
+                bits = np.unpackbits(raw[:, 1:].copy().view(np.uint8), axis=1).reshape(part.num_rows, WIDE_BANDS, WIDE_BITS)
+                value = bits.astype(np.int64) @ (1 << np.arange(WIDE_BITS))
+                key = (np.arange(WIDE_BANDS)[None, :] << WIDE_BITS) | value
+                repeat = lambda x: pa.array(np.repeat(x, WIDE_BANDS))
+                yield pa.RecordBatch.from_arrays([pa.array(key.ravel().astype(np.int32)), repeat(part.column(0).to_numpy()), repeat(raw[:, 0].astype(np.int64))], names=["key", "node", "print"])
+
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        reference = pivots()
+        for key, node, prints in whole_runs(batches, 1):
+            starts, sizes = run_starts([key])
+            names, members = [], []
+            for at, n in zip(starts[sizes > 1].tolist(), sizes[sizes > 1].tolist(), strict=True):
+                root = np.arange(n)
+                for x, y in forest(prints[at : at + n].view(np.uint64), reference, WIDE_RADIUS):
+                    root[y] = root[x]
+                ids = node[at : at + n]
+                which, where, count = np.unique(root, return_inverse=True, return_counts=True)
+                for k in np.flatnonzero(count > 1):
+                    chosen = np.sort(ids[where == k])
+                    names += [xxhash.xxh3_64_intdigest(chosen.tobytes()) >> 1] * len(chosen)
+                    members.append(chosen)
+            yield pa.RecordBatch.from_arrays([pa.array(names, pa.int64()), pa.array(np.concatenate([np.zeros(0, np.int64), *members]))], names=["bucket", "node"])
+
+    rows = common.arrow_map(own, bands, "key int, node long, print long").repartition("key").sortWithinPartitions("key", "node")
+    sets = common.stash(common.arrow_map(rows, meet, "bucket long, node long").distinct(), "wide-sets")
+    common.release(docs.sparkSession)
+    texts = docs.select(F.col(id_col).cast("long").alias("node"), F.col(text_col).alias("words"))
+    texts = texts.join(sets.select("node").distinct(), "node", "left_semi").dropDuplicates(["node"])
+    found = sets.join(texts, "node").select("bucket", "node", "words").repartition("bucket").sortWithinPartitions("bucket", "node")
+
+    def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def of(node: list, hashes: list[np.ndarray]) -> pa.RecordBatch:
+            size = np.array([len(x) for x in hashes])
+
+            def near(x: int, free: np.ndarray) -> np.ndarray:
+                low, high = np.minimum(size[free], size[x]), np.maximum(size[free], size[x])
+                free = free[low >= least * high]
+                if not len(free):
+                    return free
+                shared = np.array([np.isin(hashes[y], hashes[x], assume_unique=True).sum() for y in free])
+                return free[shared >= least * (size[free] + size[x] - shared)]
+
+            tree = spanning(len(node), near)
+            return pa.RecordBatch.from_arrays([pa.array([node[x] for x, _ in tree], pa.int64()), pa.array([node[y] for _, y in tree], pa.int64())], names=["a", "b"])
+
+        now, node, hashes = None, [], []
+        for batch in batches:
+            for bucket, key, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).cast(pa.binary()), strict=True):
+                if bucket != now and node:
+                    yield of(node, hashes)
+                    node, hashes = [], []
+                now = bucket
+                node.append(key)
+                hashes.append(word_shingles(words_of(t.as_py() or b""), shingle))
+        if node:
+            yield of(node, hashes)
+
+    roots = common.components(common.stash(common.arrow_map(found, verify, "a long, b long").distinct(), "wide-links"), "a", "b").withColumnRenamed("node", "n")
+    named = nodes.join(roots, F.col("node") == F.col("n"), "left").select(F.col("same").alias("s"), F.coalesce("root", "node").cast(kind).alias("component_id"))
+    return signed.join(named, F.col("same") == F.col("s")).select(F.col("id").alias(id_col), "component_id")
+
+
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, least: float = 0.8) -> DataFrame:
+    """docs, all columns, with the least id of each class of similar texts (all rows of that id). Rows without an id stay."""
+    gone = similar_classes(docs, id_col, text_col, shingle, least).where(F.col(id_col) != F.col("component_id")).select(F.col(id_col).alias("__plinth_id")).distinct()
+    return docs.join(gone, docs[id_col] == F.col("__plinth_id"), "left_anti")
