@@ -5,10 +5,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import common, decontaminate, lines, packing, quality, repair, simhash, winnow
+from . import common, counts, decontaminate, lines, packing, pages, quality, repair, shards, simhash, winnow
 
 
 THRESHOLD = 0.7
+ARRIVALS = 6
+
+
+def op1_page_differencing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pages.extract(common.table(spark, sf_dir, "pages"))
 
 
 def op2_factorisation_machine(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -55,6 +60,20 @@ def op6_repair_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repair.read_store(spark, path).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
 
 
+def op7_shard_compaction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    store = shards.ShardStore(spark, common.new_path(spark, "shards"))
+    docs = common.table(spark, sf_dir, "documents")
+    for i in range(ARRIVALS):  # the whole table comes in parts by hash of the id, and is compacted as it grows
+        store.append(docs.where(F.pmod(F.xxhash64("doc_id"), F.lit(ARRIVALS)) == i))
+        store.compact()
+        store.vacuum()
+    return store.read().select("doc_id", "lang", "source", "n_chars", F.sha2(F.col("text").cast("binary"), 256).alias("text_sha256"))
+
+
+def op8_trie_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return counts.token_counts(common.table(spark, sf_dir, "documents"))
+
+
 def op9_simhash_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_duplicates(common.table(spark, sf_dir, "documents"))
     return found.select("doc_id", F.lower(F.lpad(F.hex("fingerprint"), 16, "0")).alias("fingerprint"), "component_id")
@@ -64,5 +83,22 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.matches(common.table(spark, sf_dir, "documents"), common.table(spark, sf_dir, "benchmark"))
 
 
-QUERIES = {f.__name__: f for f in (op2_factorisation_machine, op3_line_minhash, op4_winnowing, op5_vector_packing, op6_repair_ids, op9_simhash_classes, op10_decontamination)}
-ORACLES: dict[str, str] = {}
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_page_differencing,
+        op2_factorisation_machine,
+        op3_line_minhash,
+        op4_winnowing,
+        op5_vector_packing,
+        op6_repair_ids,
+        op7_shard_compaction,
+        op8_trie_token_counts,
+        op9_simhash_classes,
+        op10_decontamination,
+    )
+}
+#: DuckDB SQL, for what SQL can express: the store must give back every row as it came.
+ORACLES: dict[str, str] = {
+    "op7_shard_compaction": "SELECT doc_id, lang, source, n_chars, sha256(text) AS text_sha256 FROM documents",
+}
