@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 
 from . import common, tokens
 
-POOL = 4096  # items among which the open bin may choose
+POOL = 1024  # items among which the open bin may choose
 LEAST_WASTE = 16  # tokens of padding that are left rather than cutting on
 SCHEMA = "{id} {kind}, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long"
 
