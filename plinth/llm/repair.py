@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from . import common, tokens
 
 SHARD = 1 << 20  # ids
-ROUNDS, LEAST, BUCKETS = 8, 8, 1 << 18
+ROUNDS, LEAST, FULLEST, BUCKETS = 8, 8, 1024, 1 << 18
 SCHEMA = "part int, shard int, part_start long, n_tokens long, doc_ids array<{kind}>, doc_tokens array<long>, blob binary"
 
 
@@ -47,7 +47,7 @@ def compress(ids: np.ndarray, base: int, end_id: int = tokens.END_ID, most: int
         usable = (s[:-1] != end_id) & (s[1:] != end_id)
         bucket = ((pair * np.int64(-7046029254386353131)) >> 40) & (BUCKETS - 1)
         count = np.bincount(bucket[usable], minlength=BUCKETS)
-        full = count >= max(least, np.partition(count, -min(4096, BUCKETS))[-min(4096, BUCKETS)])
+        full = count >= max(least, np.partition(count, -FULLEST)[-FULLEST])
         at = np.flatnonzero(usable & full[bucket])
         if not len(at):
             break
@@ -77,7 +77,7 @@ def compress(ids: np.ndarray, base: int, end_id: int = tokens.END_ID, most: int
         stays[at + 1] = False
         s[at] = found
         s = s[stays]
-        if len(at) < len(s) // 100:
+        if len(at) < len(s) // 50:
             break
     return s, np.concatenate(rules) if rules else np.zeros((0, 2), dtype=np.int64)
 
@@ -161,7 +161,7 @@ def write_store(docs: DataFrame, path: str, tokenizer_path: str | None = None, i
 
         context = TaskContext.get()
         part = context.partitionId() if context else 0
-        base = tokens.load(tok)[0].get_vocab_size()
+        base = tokens.load(tok).tokenizer.get_vocab_size()
         keys, held, size, shard, before, kind_ = [], [], 0, 0, 0, None
 
         def close() -> pa.RecordBatch:
