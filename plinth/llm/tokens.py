@@ -17,7 +17,7 @@ import struct
 from collections.abc import Iterator
 
 END_ID = 0
-CACHED = 400_000  # pieces of a generation, about 100 MB; a worker keeps two
+CACHED = 200_000  # pieces of a generation, about 50 MB; a worker keeps two
 SLICE = 1 << 20  # code points of a text handled at once
 
 PUNCTUATION = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
