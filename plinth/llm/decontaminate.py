@@ -20,29 +20,15 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import common, simhash
+from .wordhash import PLAIN, shingle_hashes, word_hashes
 
 BLOCK = 4096  # items
 BLOCK_BYTES = 32 << 20
-SEED = 42
-_plain = bytes(b + 32 if 65 <= b <= 90 else 32 if b < 128 and not chr(b).isalnum() else b for b in range(256))
-
-
-def words_of(raw: bytes) -> list[bytes]:
-    return raw.translate(_plain).split()
-
-
-def hashes_of(words: list[bytes], size: int) -> np.ndarray:
-    """The hash of each shingle (of all words, where there are fewer), rolled over word hashes."""
-    h = np.array([xxhash.xxh3_64_intdigest(w) for w in words], dtype=np.uint64)
-    out = np.zeros(max(1, len(h) - size + 1) if len(h) else 0, dtype=np.uint64)
-    for i in range(min(size, len(h))):
-        out = out * np.uint64(0x9E3779B97F4A7C15) + h[i : i + len(out)]
-    return (out ^ (out >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
+SIEVE = 20  # bits of a hash that a table of all items' shingles is asked first
 
 
 class Index:
@@ -52,18 +38,21 @@ class Index:
         self.size, self.least, self.radius = size, least, radius
         self.ids, self.hashes, self.words = [], [], []
         for key, text in items:
-            words = words_of(text or b"")
-            if words:
+            words = word_hashes(text, PLAIN)
+            if len(words):
                 self.ids.append(key)
                 self.words.append(len(words))
-                self.hashes.append(np.sort(hashes_of(words, size)))
+                self.hashes.append(np.sort(shingle_hashes(words, size)))
         self.known = np.unique(np.concatenate([np.zeros(0, np.uint64), *self.hashes]))
+        self.sieve = np.zeros(1 << SIEVE, dtype=bool)
+        self.sieve[(self.known >> np.uint64(64 - SIEVE)).astype(np.int64)] = True
         self.prints = np.array([simhash.majority(h) for h in self.hashes], dtype=np.uint64)
         self.lengths = sorted(set(self.words))
         self.by_length = {n: np.flatnonzero(np.array(self.words) == n) for n in self.lengths}
         near = radius // 4  # within radius bits, one of four blocks differs in so many at most
         flips = [0] + [sum(1 << b for b in c) for k in range(1, near + 1) for c in combinations(range(16), k)]
         self.flips = np.array(flips, dtype=np.int64)
+        self.known_by_length = {n: np.unique(np.concatenate([self.hashes[i] for i in own])) for n, own in self.by_length.items()}
         self.blocks = {}
         for n, own in self.by_length.items():
             for k in range(4):
@@ -94,30 +83,37 @@ class Index:
 
     def search(self, raw: bytes | None) -> list[tuple]:
         """(item id, first word, words, similarity) of each item's best window that is similar enough."""
-        words = words_of(raw or b"")
-        if not words or not len(self.known):
+        words = word_hashes(raw, PLAIN)
+        if not len(words) or not len(self.known):
             return []
-        h = hashes_of(words, self.size)
-        at = np.searchsorted(self.known, h)
-        hit = self.known[np.minimum(at, len(self.known) - 1)] == h
-        if not hit.any():
-            # a shorter item or document is one shingle of other length: it has a hash of its own here
-            if len(words) >= self.size and self.lengths[0] >= self.size:
-                return []
-        sums = np.r_[0, np.cumsum(hit)]
+        h = shingle_hashes(words, self.size)
+        hit = self.sieve[(h >> np.uint64(64 - SIEVE)).astype(np.int64)]
+        if hit.any():
+            some = np.flatnonzero(hit)
+            at = np.searchsorted(self.known, h[some])
+            hit[some] = self.known[np.minimum(at, len(self.known) - 1)] == h[some]
+        if not hit.any() and len(words) >= self.size and self.lengths[0] >= self.size:
+            return []  # items or documents shorter than a shingle have hashes of their own
+        hits = np.flatnonzero(hit)
         best: dict[int, tuple] = {}
         for n in self.lengths:
             if n < self.size <= len(words):  # items shorter than a shingle: windows are hashed anew
-                short = hashes_of(words, n)
-                starts = np.flatnonzero(np.isin(short, np.concatenate([self.hashes[i] for i in self.by_length[n]])))
+                short = shingle_hashes(words, n)
+                starts = np.flatnonzero(np.isin(short, self.known_by_length[n]))
                 windows = [(int(s), n, short[s : s + 1]) for s in starts]
             else:
                 m = max(1, min(n, len(words)) - self.size + 1)
                 full = max(1, n - self.size + 1)
                 # weighted Jaccard of m and full shingles is at least `least` only with so many shared
                 need = self.least * (m + full) / (1 + self.least) - 1e-9
-                if m < need:
+                if m < need or len(hits) < need:
+                    continue
+                own_hits = hits[np.isin(h[hits], self.known_by_length[n])]
+                if len(own_hits) < need:
                     continue
+                there = np.zeros(len(h) + 1, dtype=np.int64)
+                there[own_hits + 1] = 1
+                sums = np.cumsum(there)
                 shared = sums[m:] - sums[:-m]
                 windows = [(int(s), min(n, len(words)), h[s : s + m]) for s in np.flatnonzero(shared >= need)]
             for s, width, own in windows:

@@ -26,6 +26,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import common
+from .wordhash import Alike, word_hashes
+from .wordhash import shingle_hashes as shingle_hashes_of
 
 PIVOTS = 16
 CHUNK = 1 << 15  # shingles whose bits are counted at once
@@ -205,15 +207,6 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 WIDE_BANDS, WIDE_BITS, WIDE_RADIUS = 48, 24, 20
 
 
-def word_shingles(words: list[bytes], size: int) -> np.ndarray:
-    """The distinct hashes of word shingles (all words, where there are fewer), rolled over word hashes."""
-    h = np.array([xxhash.xxh3_64_intdigest(w) for w in words], dtype=np.uint64)
-    out = np.zeros(max(1, len(h) - size + 1) if len(h) else 0, dtype=np.uint64)
-    for i in range(min(size, len(h))):
-        out = out * np.uint64(0x9E3779B97F4A7C15) + h[i : i + len(out)]
-    return np.unique((out ^ (out >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9))
-
-
 def wide(hashes: np.ndarray) -> np.ndarray:
     """A SimHash of many 64-bit words from each hash mixed anew per word; none: all zero."""
     n = 1 + WIDE_BANDS * WIDE_BITS // 64
@@ -245,9 +238,9 @@ def similar_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
                 part = batch.slice(at, 2000)
                 same, prints = [], []
                 for t in part.column(1).cast(pa.binary()):
-                    words = words_of(t.as_py() or b"")
-                    same.append(xxhash.xxh3_128_digest(b" ".join(words)))
-                    prints.append(wide(word_shingles(words, 3)).tobytes())
+                    raw = t.as_py() or b""
+                    same.append(xxhash.xxh3_128_digest(b" ".join(words_of(raw))))
+                    prints.append(wide(np.unique(shingle_hashes_of(word_hashes(raw), 3))).tobytes())
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(same, pa.binary()), pa.array(prints, pa.binary())], names=["id", "same", "wide"])
 
     signed = common.arrow_map(docs.select(id_col, text_col).where(F.col(id_col).isNotNull()), sign, f"id {kind}, same binary, wide binary")
@@ -294,17 +287,7 @@ def similar_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def of(node: list, hashes: list[np.ndarray]) -> pa.RecordBatch:
-            size = np.array([len(x) for x in hashes])
-
-            def near(x: int, free: np.ndarray) -> np.ndarray:
-                low, high = np.minimum(size[free], size[x]), np.maximum(size[free], size[x])
-                free = free[low >= least * high]
-                if not len(free):
-                    return free
-                shared = np.array([np.isin(hashes[y], hashes[x], assume_unique=True).sum() for y in free])
-                return free[shared >= least * (size[free] + size[x] - shared)]
-
-            tree = spanning(len(node), near)
+            tree = spanning(len(node), Alike(hashes, least).near)
             return pa.RecordBatch.from_arrays([pa.array([node[x] for x, _ in tree], pa.int64()), pa.array([node[y] for _, y in tree], pa.int64())], names=["a", "b"])
 
         now, node, hashes = None, [], []
@@ -315,7 +298,7 @@ def similar_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
                     node, hashes = [], []
                 now = bucket
                 node.append(key)
-                hashes.append(word_shingles(words_of(t.as_py() or b""), shingle))
+                hashes.append(np.unique(shingle_hashes_of(word_hashes(t.as_py()), shingle)))
         if node:
             yield of(node, hashes)
 
