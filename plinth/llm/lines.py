@@ -26,6 +26,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import common
+from .simhash import spanning
+from .wordhash import Alike
 
 SHINGLE = 8
 BANDS, ROWS = 12, 6
@@ -81,28 +83,6 @@ def buckets(sig: np.ndarray, bands: int = BANDS) -> np.ndarray:
     return out.view(np.int64)
 
 
-def similar_forest(sets: list[frozenset], least: float) -> list[tuple[int, int]]:
-    """Spanning forest of the pairs whose sets have at least this Jaccard similarity."""
-    free = list(range(len(sets)))
-    out = []
-    while free:
-        front = [free.pop(0)]
-        while front and free:
-            x = front.pop()
-            a = sets[x]
-            stay = []
-            for y in free:
-                b = sets[y]
-                low, high = (len(a), len(b)) if len(a) < len(b) else (len(b), len(a))
-                if low >= least * high and (s := len(a & b)) >= least * (len(a) + len(b) - s):
-                    out.append((x, y))
-                    front.append(y)
-                else:
-                    stay.append(y)
-            free = stay
-    return out
-
-
 def runs(batches: Iterator[pa.RecordBatch], columns: int) -> Iterator[list[list]]:
     """Rows sorted by their first column, as Python lists per run of it, over batch ends."""
     held: list[list] | None = None
@@ -208,8 +188,8 @@ def links(docs: DataFrame, text_col: str = "text", least: float = LEAST) -> Data
         for _, line, words in runs(batches, 3):
             owner, h = shingle_rows(words)
             ends = np.searchsorted(owner, np.arange(len(words) + 1))
-            sets_ = [frozenset(h[i:j].tolist()) for i, j in zip(ends[:-1], ends[1:], strict=True)]
-            for x, y in similar_forest(sets_, least):
+            alike = Alike([np.unique(h[i:j]) for i, j in zip(ends[:-1], ends[1:], strict=True)], least)
+            for x, y in spanning(len(words), alike.near):
                 a.append(line[x])
                 b.append(line[y])
             if len(a) > 10_000:
@@ -241,7 +221,8 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least
     named = common.stash(named, "line-places")
     common.release(spark)
     first = named.groupBy("line").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("id", "at")).alias("first")).where("n > 1")
-    first = first.select(F.col("line").alias("own"), F.col("first.id").alias("first_id"), F.col("first.at").alias("first_at"))
+    # stored, so that the join below shuffles both sides and Spark can split a line that very many documents have
+    first = common.stash(first.select(F.col("line").alias("own"), F.col("first.id").alias("first_id"), F.col("first.at").alias("first_at")), "line-first")
     gone = named.join(first, F.col("line") == F.col("own")).where((F.col("id") != F.col("first_id")) | (F.col("at") != F.col("first_at")))
     gone = gone.groupBy("id").agg(F.collect_list("at").alias("__plinth_gone")).withColumnRenamed("id", "__plinth_id")
     joined = docs.join(gone, docs[id_col] == F.col("__plinth_id"), "left").drop("__plinth_id")
