@@ -87,11 +87,10 @@ class Encoder:
 
     def encode(self, text: str) -> bytes:
         # single blanks and line feeds between words, and no special token: all parts are found by themselves
-        words = text.split()
-        if "<|" in text or sum(map(len, words)) + len(words) - 1 != len(text) or text.count(" ") + text.count("\n") != len(words) - 1:
+        words = text.replace("\n", " \n").split(" ")
+        flat = text.replace("\n", " ")
+        if "" in words or "\n" in words or "<|" in text or not (flat.isprintable() or flat.split() == flat.split(" ")):
             return b"".join([self.others[piece] for piece in pieces(text)])
-        if "\n" in text:
-            words = text.replace("\n", " \n").split(" ")
         words[0] = "\n" + words[0]
         return b"".join(map(self.parts.__getitem__, words))[4:]  # without the line feed put before
 
