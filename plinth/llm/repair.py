@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from . import common, tokens
 
 SHARD = 1 << 20  # ids
-ROUNDS, LEAST, FULLEST, BUCKETS = 8, 8, 1024, 1 << 18
+ROUNDS, LEAST, FULLEST, BUCKETS = 6, 8, 1024, 1 << 18
 SCHEMA = "part int, shard int, part_start long, n_tokens long, doc_ids array<{kind}>, doc_tokens array<long>, blob binary"
 
 
@@ -95,12 +95,12 @@ def lengths(rules: np.ndarray, base: int) -> np.ndarray:
 
 
 def expand(symbols: np.ndarray, rules: np.ndarray, base: int) -> np.ndarray:
-    s = symbols.astype(np.int64)
+    s, rules = symbols.astype(np.int32), rules.astype(np.int32)
     while len(at := np.flatnonzero(s >= base)):
-        width = np.ones(len(s), dtype=np.int64)
+        width = np.ones(len(s), dtype=np.int32)
         width[at] = 2
         ends = np.cumsum(width)
-        out = np.empty(int(ends[-1]), dtype=np.int64)
+        out = np.empty(int(ends[-1]), dtype=np.int32)
         out[ends - width] = s
         pairs = rules[s[at] - base]
         out[ends[at] - 2], out[ends[at] - 1] = pairs[:, 0], pairs[:, 1]
