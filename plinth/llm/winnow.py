@@ -10,7 +10,8 @@ down so that the rightmost is the least, the piece's number (modulo 2^24) in the
 Defined cases: a null text is empty; a text without pieces has an empty fingerprint, wholly like
 another empty one and unlike any other; a text of fewer than K pieces has one hash, of all of them;
 rows that share an id each keep their row, and are followed by the next id's row with the least text;
-null ids come first; the last id is followed by the first; other columns are ignored.
+null ids
+are one id before all others; the last id is followed by the first; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -52,7 +53,8 @@ def fingerprint(text: Column, piece: int = PIECE, k: int = K, window: int = WIND
 
 
 def hashes(chosen: Column) -> Column:
-    return F.array_distinct(F.transform(chosen, lambda x: F.shiftright(x, 24)))
+    """The distinct hashes of a fingerprint, 32 bits of each."""
+    return F.array_distinct(F.transform(chosen, lambda x: F.shiftright(x, 32).cast("int")))
 
 
 def positions(chosen: Column) -> Column:
@@ -60,22 +62,24 @@ def positions(chosen: Column) -> Column:
 
 
 def likeness(a: Column, b: Column) -> Column:
-    """Jaccard similarity of two fingerprints' hashes; two empty ones are alike."""
-    both = let(F.struct(hashes(a).alias("a"), hashes(b).alias("b")), lambda s: let(F.size(F.array_intersect(s["a"], s["b"])), lambda n: F.struct(n.alias("n"), (F.size(s["a"]) + F.size(s["b"]) - n).alias("of"))))
+    """Jaccard similarity of two sets of hashes; two empty ones are alike."""
+    both = let(F.struct(a.alias("a"), b.alias("b")), lambda s: let(F.size(F.array_intersect(s["a"], s["b"])), lambda n: F.struct(n.alias("n"), (F.size(s["a"]) + F.size(s["b"]) - n).alias("of"))))
     return let(both, lambda r: F.when(r["of"] == 0, F.lit(1.0)).otherwise(r["n"] / r["of"]))
 
 
 def with_next(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", share: int = 4) -> DataFrame:
-    """Rows (id, text, chosen, head, next_chosen): a text's fingerprint, the start of the next document,
-    as long as this text's last 1/share, and the next document's fingerprint.
+    """Rows (id, text, head, next_hashes): a text, the start of the next document, as long as this
+    text's last 1/share, and the hashes of the next document's fingerprint.
 
-    One shuffle of the texts by id (used twice) and one of the starts and fingerprints.
+    Ids are whole numbers. One shuffle of the texts by id, used twice (both sides read the same columns), and one of the starts and hashes; the fingerprint is
+    computed behind the first, as its elements would take more room in it than the text.
     """
-    rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    ids = rows.groupBy("id").agg(F.max(F.length("text")).alias("n"))
-    order = common.neighbours(common.in_order(ids, ["id"], "ids"), ["id"], ["id", "n"], wrap=True)
-    order = order.select(F.col("id").alias("own"), F.col("prev.id").alias("prev_id"), (F.col("prev.n") / share).cast("int").alias("take"))
-    full = rows.withColumn("chosen", fingerprint(F.col("text"))).join(order, F.col("id").eqNullSafe(F.col("own")))
-    heads = full.select(F.col("prev_id").alias("of"), F.struct(F.left("text", F.col("take")).alias("head"), F.col("chosen").alias("next_chosen")).alias("next"))
+    none = F.lit(-(1 << 63))
+    rows = docs.select(F.coalesce(F.col(id_col).cast("long"), none).alias("key"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    ids = rows.groupBy("key").agg(F.max(F.length("text")).alias("n"))
+    order = common.neighbours(common.in_order(ids, ["key"], "ids"), ["key"], ["key", "n"], wrap=True)
+    order = order.select(F.col("key").alias("own"), F.col("prev.key").alias("prev_key"), (F.col("prev.n") / share).cast("int").alias("take"))
+    full = rows.join(order.hint("shuffle_merge"), F.col("key") == F.col("own"))
+    heads = full.select(F.col("prev_key").alias("of"), F.struct(F.left("text", F.col("take")).alias("head"), hashes(fingerprint(F.col("text"))).alias("hashes")).alias("next"))
     heads = heads.groupBy("of").agg(F.min("next").alias("next"))
-    return full.join(heads, F.col("id").eqNullSafe(F.col("of"))).select(F.col("id").alias(id_col), "text", "chosen", F.col("next.head").alias("head"), F.col("next.next_chosen").alias("next_chosen"))
+    return full.join(heads.hint("shuffle_merge"), F.col("key") == F.col("of")).select(F.when(F.col("key") != none, F.col("key")).cast(docs.schema[id_col].dataType).alias(id_col), "text", F.col("next.head").alias("head"), F.col("next.hashes").alias("next_hashes"))
