@@ -1,17 +1,19 @@
 """Re-Pair grammar compression of token ids, in shards with random access.
 
-Per shard, frequent pairs of neighbouring symbols are replaced by new nonterminals, again and again.
-A round replaces many pairs at once: pairs are counted in hashed buckets, those of the fullest
-buckets exactly, and the most frequent get rules; where occurrences overlap, the left one wins. No
-rule holds the end id, so every document is a range of symbols of its own. A shard keeps its rules,
-their expansion lengths, the symbols and each document's first symbol, so any range of ids decodes
-without the rest.
+Per shard, pairs of neighbouring symbols are replaced by new nonterminals, the most frequent first,
+until no pair occurs twice. A round replaces all pairs at least half as frequent as the most frequent
+one; where occurrences overlap, the left one wins. Buckets of pairs only bound the counts from above:
+the pairs that are replaced are counted exactly, and a pair that occurs once is not looked at again
+until a symbol beside it changes. No rule holds the end id, so every document is a range of symbols of
+its own. A shard keeps its rules, the symbols and each document's first symbol, so any range of ids
+decodes without the rest.
 
 File format: a Parquet table with a row per shard: ``part`` and ``shard`` (ascending id order),
 ``part_start`` (ids before it in its part), ``n_tokens``, ``doc_ids``, ``doc_tokens`` and ``blob``.
-The blob, little-endian: b"RPR1", then unsigned 32-bit counts of rules, symbols and documents and the
-first nonterminal; the rules as pairs, their expansion lengths and the documents' first symbols as
-unsigned 32-bit; the symbols as unsigned 16-bit if all are below 65,536, else 32-bit.
+The blob, little-endian: b"RPR2", then unsigned 32-bit counts of rules, symbols and documents and the
+first nonterminal; the documents' first symbols as unsigned 32-bit; the rules as pairs and then the
+symbols, both in as many bits each as the largest symbol takes. Blobs of b"RPR1" (rules, their expansion
+lengths, first symbols and symbols in 16 or 32 bits) are still read.
 
 Defined cases: a null text is empty (the end id alone); null ids come first and stay null; rows with
 one id keep all, ordered by text; an empty table gives an empty store; other columns are ignored.
@@ -30,58 +32,85 @@ from pyspark.sql import functions as F
 from . import common, tokens
 
 SHARD = 1 << 20  # ids
-ROUNDS, LEAST, FULLEST, BUCKETS = 6, 8, 1024, 1 << 18
+LEAST, SHARE, BUCKETS = 2, 2, 1 << 20
 SCHEMA = "part int, shard int, part_start long, n_tokens long, doc_ids array<{kind}>, doc_tokens array<long>, blob binary"
 
 
-def compress(ids: np.ndarray, base: int, end_id: int = tokens.END_ID, most: int = 65_536, rounds: int = ROUNDS, least: int = LEAST) -> tuple[np.ndarray, np.ndarray]:
-    """The symbols that are left, and the rules: rule i makes symbol base + i stand for two symbols."""
+def compress(ids: np.ndarray, base: int, end_id: int = tokens.END_ID, least: int = LEAST) -> tuple[np.ndarray, np.ndarray]:
+    """The symbols that are left, and the rules: rule i makes symbol base + i stand for two symbols.
+
+    No pair without the end id is left that occurs ``least`` times without overlap.
+    """
     s = ids.astype(np.int64)
     rules: list[np.ndarray] = []
     made = 0
-    for _ in range(rounds):
-        room = most - base - made
-        if len(s) < 2 or room <= 0:
-            break
-        pair = (s[:-1] << 32) | s[1:]
-        usable = (s[:-1] != end_id) & (s[1:] != end_id)
+    live = s != end_id  # where a pair begins that may occur often enough
+    live[:-1] &= live[1:]
+    live[-1:] = False
+    most = len(s)  # no pair is more frequent
+    while most >= least:
+        at = np.flatnonzero(live)
+        pair = (s[at] << 32) | s[at + 1]
         bucket = ((pair * np.int64(-7046029254386353131)) >> 40) & (BUCKETS - 1)
-        count = np.bincount(bucket[usable], minlength=BUCKETS)
-        full = count >= max(least, np.partition(count, -FULLEST)[-FULLEST])
-        at = np.flatnonzero(usable & full[bucket])
-        if not len(at):
-            break
-        keys, where, seen = np.unique(pair[at], return_inverse=True, return_counts=True)
-        wanted = np.flatnonzero(seen >= least)
-        wanted = wanted[np.argsort(-seen[wanted], kind="stable")][: min(room, 2048)]
-        if not len(wanted):
+        count = np.bincount(bucket, minlength=BUCKETS)
+        most = min(most, int(count.max()))
+        if most < least:
             break
-        symbol = np.full(len(keys), -1, dtype=np.int64)
-        symbol[wanted] = np.arange(len(wanted))
-        found = symbol[where]
-        at, found = at[found >= 0], found[found >= 0]
-        begins = np.flatnonzero(np.diff(at, prepend=-2) != 1)
-        place = np.arange(len(at)) - np.repeat(begins, np.diff(np.append(begins, len(at))))
-        at, found = at[place % 2 == 0], found[place % 2 == 0]
-        uses = np.bincount(found, minlength=len(wanted))
-        kept = np.flatnonzero(uses >= 4)
+        bound = count[bucket]
+        live[at[bound < least]] = False
+        floor = max(least, -(-most // SHARE))
+        some = bound >= floor
+        at, pair = at[some], pair[some]
+        keys, where, seen = np.unique(pair, return_inverse=True, return_counts=True)
+        wanted = seen >= floor
+        alone = False
+        while True:
+            some = wanted[where]
+            here, found = at[some], where[some]
+            begins = np.flatnonzero(np.diff(here, prepend=-2) != 1)
+            place = np.arange(len(here)) - np.repeat(begins, np.diff(np.append(begins, len(here))))
+            here, found = here[place % 2 == 0], found[place % 2 == 0]
+            kept = np.flatnonzero(np.bincount(found, minlength=len(keys)) >= least)
+            others = np.flatnonzero(wanted & (keys >> 32 != keys & 0xFFFFFFFF))
+            if len(kept) or alone or not len(others):
+                break
+            wanted[:] = False  # these pairs took each other's places: one of them alone has all of its own
+            wanted[others[np.argmax(seen[others])]] = alone = True
         if not len(kept):
-            break
-        name = np.full(len(wanted), -1, dtype=np.int64)
+            most = floor - 1  # at most pairs of one symbol twice, whose occurrences overlap, are left above
+            continue
+        name = np.full(len(keys), -1, dtype=np.int64)
         name[kept] = base + made + np.arange(len(kept))
-        at, found = at[name[found] >= 0], name[found][name[found] >= 0]
-        chosen = keys[wanted[kept]]
-        rules.append(np.stack([chosen >> 32, chosen & 0xFFFFFFFF], 1))
+        named = name[found]
+        here, named = here[named >= 0], named[named >= 0]
+        rules.append(np.stack([keys[kept] >> 32, keys[kept] & 0xFFFFFFFF], 1))
         made += len(kept)
+        s[here] = named
+        before = here[here > 0] - 1
+        live[before] = s[before] != end_id
+        live[here] = False
+        followed = here[here + 2 < len(s)]
+        live[followed] = s[followed + 2] != end_id
         stays = np.ones(len(s), dtype=bool)
-        stays[at + 1] = False
-        s[at] = found
-        s = s[stays]
-        if len(at) < len(s) // 50:
-            break
+        stays[here + 1] = False
+        s, live = s[stays], live[stays]
     return s, np.concatenate(rules) if rules else np.zeros((0, 2), dtype=np.int64)
 
 
+def pack_bits(values: np.ndarray, bits: int) -> bytes:
+    """Numbers below 2^bits, each in so many bits."""
+    wide = np.unpackbits(values.astype("<u4").view(np.uint8).reshape(-1, 4), axis=1, bitorder="little")
+    return np.packbits(wide[:, :bits], bitorder="little").tobytes()
+
+
+def unpack_bits(raw: bytes, bits: int, n: int, at: int) -> tuple[np.ndarray, int]:
+    """n packed numbers from a place in the bytes, and the place behind them."""
+    end = at + (n * bits + 7) // 8
+    wide = np.zeros((n, 32), dtype=np.uint8)
+    wide[:, :bits] = np.unpackbits(np.frombuffer(raw, np.uint8, end - at, at), count=n * bits, bitorder="little").reshape(n, bits)
+    return np.packbits(wide, axis=1, bitorder="little").view("<u4").ravel(), end
+
+
 def lengths(rules: np.ndarray, base: int) -> np.ndarray:
     """How many ids each rule's symbol stands for. Rules only name earlier ones, round after round."""
     out = np.ones(len(rules), dtype=np.int64)
@@ -116,21 +145,27 @@ def write_blob(docs: list[bytes], base: int, end_id: int) -> bytes:
     width = np.where(s < base, 1, size[np.clip(s - base, 0, max(len(size) - 1, 0))] if len(size) else 1)
     starts = np.cumsum(width) - width
     first = np.searchsorted(starts, np.cumsum([0, *(len(d) // 4 for d in docs[:-1])]))
-    top = base + len(rules)
-    return b"".join([b"RPR1", struct.pack("<4I", len(rules), len(s), len(docs), base), rules.astype("<u4").tobytes(), size.astype("<u4").tobytes(), first.astype("<u4").tobytes(), s.astype("<u2" if top <= 65_536 else "<u4").tobytes()])
+    bits = (base + len(rules)).bit_length()
+    return b"".join([b"RPR2", struct.pack("<4I", len(rules), len(s), len(docs), base), first.astype("<u4").tobytes(), pack_bits(rules.ravel(), bits), pack_bits(s, bits)])
 
 
 class Shard:
     """A blob, opened. ids(), document(k) and range(start, count) decode all, one or any part of its ids."""
 
     def __init__(self, blob: bytes):
-        if blob[:4] != b"RPR1":
+        if blob[:4] not in (b"RPR1", b"RPR2"):
             raise ValueError("not a shard of this format")
         n_rules, n_symbols, n_docs, self.base = struct.unpack_from("<4I", blob, 4)
         at = 20
+        if blob[:4] == b"RPR2":
+            bits = (self.base + n_rules).bit_length()
+            self.first = np.frombuffer(blob, "<u4", n_docs, at).astype(np.int64)
+            rules, at = unpack_bits(blob, bits, 2 * n_rules, at + 4 * n_docs)
+            self.rules = rules.reshape(-1, 2).astype(np.int64)
+            self.symbols, _ = unpack_bits(blob, bits, n_symbols, at)
+            return
         self.rules = np.frombuffer(blob, "<u4", 2 * n_rules, at).reshape(-1, 2).astype(np.int64)
-        self.sizes = np.frombuffer(blob, "<u4", n_rules, at := at + 8 * n_rules).astype(np.int64)
-        self.first = np.frombuffer(blob, "<u4", n_docs, at := at + 4 * n_rules).astype(np.int64)
+        self.first = np.frombuffer(blob, "<u4", n_docs, at := at + 12 * n_rules).astype(np.int64)
         wide = self.base + n_rules > 65_536
         self.symbols = np.frombuffer(blob, "<u4" if wide else "<u2", n_symbols, at + 4 * n_docs)
 
@@ -144,7 +179,7 @@ class Shard:
     def range(self, start: int, count: int) -> np.ndarray:
         s = self.symbols.astype(np.int64)
         width = np.ones(len(s), dtype=np.int64)
-        width[s >= self.base] = self.sizes[s[s >= self.base] - self.base]
+        width[s >= self.base] = lengths(self.rules, self.base)[s[s >= self.base] - self.base]
         ends = np.cumsum(width)
         a, b = np.searchsorted(ends, start, "right"), np.searchsorted(ends, start + count, "left") + 1
         skip = start - (ends[a] - width[a]) if a < len(s) else 0

@@ -117,6 +117,21 @@ def test_repair_compresses_and_opens_single_documents(prose):
     assert shard.document(7).tobytes() == docs[7] and shard.document(19).tobytes() == docs[19]
 
 
+@pytest.mark.parametrize("seed", range(4))
+def test_repair_goes_on_until_no_pair_occurs_twice(seed):
+    rng = np.random.default_rng(seed)
+    ids = [np.tile(rng.integers(1, 50_000, 20_000), 3), rng.zipf(1.3, 60_000) % 50_000, np.full(4001, 3), np.tile([7, 8, 9, 8], 500)][seed]
+    docs = [x.astype("<u4").tobytes() for x in np.split(np.r_[ids, 0], [len(ids) // 3, len(ids) // 2])]
+    shard = repair.Shard(repair.write_blob(docs, 50_257, 0))
+    assert shard.ids().tolist() == ids.tolist() + [0]
+    s, seen = shard.symbols.tolist(), {}
+    for i, pair in enumerate(zip(s, s[1:], strict=False)):
+        if 0 not in pair and seen.setdefault(pair, i) < i - 1:
+            raise AssertionError(pair)
+    if seed == 0:  # every id occurs three times with the same follower
+        assert len(s) < 1000 and shard.base + len(shard.rules) > 65_536
+
+
 def test_store_gives_back_every_document(spark, documents, prose, odd, tmp_path):
     for n, table in enumerate((documents([(i * 3, prose(i, 20 + i)) for i in range(200)][::-1]), odd, documents([]))):
         repair.write_store(table, f"{tmp_path}/{n}", shard_tokens=700)
