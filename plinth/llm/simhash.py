@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import common
-from .wordhash import Alike, word_hashes
+from .wordhash import Alike, mix, word_hashes
 from .wordhash import shingle_hashes as shingle_hashes_of
 
 PIVOTS = 16
@@ -204,31 +204,34 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return classes(prints, id_col, radius, blocks)
 
 
-WIDE_BANDS, WIDE_BITS, WIDE_RADIUS = 48, 24, 20
+BANDS, BAND_ROWS, FAR = 24, 5, 24
 
 
-def wide(hashes: np.ndarray) -> np.ndarray:
-    """A SimHash of many 64-bit words from each hash mixed anew per word; none: all zero."""
-    n = 1 + WIDE_BANDS * WIDE_BITS // 64
+def band_keys(hashes: np.ndarray) -> np.ndarray:
+    """A key for each band of a set: of BAND_ROWS least values, each by another mixing of all hashes; none: all zero."""
     if not len(hashes):
-        return np.zeros(n, dtype=np.uint64)
-    salt = (np.arange(1, n + 1, dtype=np.uint64) * np.uint64(0xD6E8FEB86659FD93))[None, :]
-    count = 0
-    for at in range(0, len(hashes), CHUNK // 8):
-        x = hashes[at : at + CHUNK // 8, None] ^ salt
-        x = (x ^ (x >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
-        x = (x ^ (x >> np.uint64(32))) * np.uint64(0x9E3779B97F4A7C15)
-        count = count + bit_counts(x ^ (x >> np.uint64(32)))
-    return np.packbits(2 * count > len(hashes), axis=-1).view(">u8").astype(np.uint64).ravel()
+        return np.zeros(BANDS, dtype=np.uint64)
+    salt = (np.arange(1, BANDS * BAND_ROWS + 1, dtype=np.uint64) * np.uint64(0xD6E8FEB86659FD93))[None, :]
+    least = np.full(BANDS * BAND_ROWS, (1 << 64) - 1, dtype=np.uint64)
+    for at in range(0, len(hashes), CHUNK // 16):
+        x = (hashes[at : at + CHUNK // 16, None] ^ salt) * np.uint64(0xD6E8FEB86659FD93)
+        x ^= x >> np.uint64(32)
+        x *= np.uint64(0x9E3779B97F4A7C15)
+        least = np.minimum(least, x.min(0))
+    key = np.arange(BANDS, dtype=np.uint64)
+    for column in least.reshape(BANDS, BAND_ROWS).T:
+        key = mix(key * np.uint64(0x9E3779B97F4A7C15) + column)
+    return key
 
 
 def similar_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, least: float = 0.8) -> DataFrame:
     """Rows (id, component_id): classes of texts whose word shingle sets have Jaccard ``least`` or more.
 
-    SimHash finds them: 1152 bits over three-word shingles are cut into 48 bands of 24 bits; texts that
-    share a band, and differ in at most 20 bits of 64 more (pivot table, then verified), are candidates,
-    and their exact similarity decides. At similarity 0.8 a pair shares a band with probability 0.93, at
-    0.85 0.98, at 0.9 0.999. Equal word sequences are one node. Rows without an id are left out.
+    MinHash over the same shingles finds them: texts that agree on all values of one of 24 bands of 5,
+    and whose SimHash over these shingles differs in at most 24 bits of 64 (pivot table, then verified),
+    are candidates, and their exact similarity decides. Whether two sets share a band depends on their
+    similarity alone, wherever the texts differ: at 0.8 they do with probability 0.9999, at 0.85 and more
+    with 0.999999. Equal word sequences are one node. Rows without an id are left out.
     """
     kind = docs.schema[id_col].dataType.simpleString()
 
@@ -240,7 +243,8 @@ def similar_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
                 for t in part.column(1).cast(pa.binary()):
                     raw = t.as_py() or b""
                     same.append(xxhash.xxh3_128_digest(b" ".join(words_of(raw))))
-                    prints.append(wide(np.unique(shingle_hashes_of(word_hashes(raw), 3))).tobytes())
+                    h = np.unique(shingle_hashes_of(word_hashes(raw), shingle))
+                    prints.append(np.r_[np.uint64(majority(h)), band_keys(h)].tobytes())
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(same, pa.binary()), pa.array(prints, pa.binary())], names=["id", "same", "wide"])
 
     signed = common.arrow_map(docs.select(id_col, text_col).where(F.col(id_col).isNotNull()), sign, f"id {kind}, same binary, wide binary")
@@ -255,11 +259,8 @@ def similar_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             for at in range(0, batch.num_rows, 1000):
                 part = batch.slice(at, 1000)
                 raw = np.frombuffer(b"".join(part.column(1).to_pylist()), dtype=np.uint64).reshape(part.num_rows, -1)
-                bits = np.unpackbits(raw[:, 1:].copy().view(np.uint8), axis=1).reshape(part.num_rows, WIDE_BANDS, WIDE_BITS)
-                value = bits.astype(np.int64) @ (1 << np.arange(WIDE_BITS))
-                key = (np.arange(WIDE_BANDS)[None, :] << WIDE_BITS) | value
-                repeat = lambda x: pa.array(np.repeat(x, WIDE_BANDS))
-                yield pa.RecordBatch.from_arrays([pa.array(key.ravel().astype(np.int32)), repeat(part.column(0).to_numpy()), repeat(raw[:, 0].astype(np.int64))], names=["key", "node", "print"])
+                repeat = lambda x: pa.array(np.repeat(x, BANDS))
+                yield pa.RecordBatch.from_arrays([pa.array(raw[:, 1:].ravel().astype(np.int64)), repeat(part.column(0).to_numpy()), repeat(raw[:, 0].astype(np.int64))], names=["key", "node", "print"])
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         reference = pivots()
@@ -268,7 +269,7 @@ def similar_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             names, members = [], []
             for at, n in zip(starts[sizes > 1].tolist(), sizes[sizes > 1].tolist(), strict=True):
                 root = np.arange(n)
-                for x, y in forest(prints[at : at + n].view(np.uint64), reference, WIDE_RADIUS):
+                for x, y in forest(prints[at : at + n].view(np.uint64), reference, FAR):
                     root[y] = root[x]
                 ids = node[at : at + n]
                 which, where, count = np.unique(root, return_inverse=True, return_counts=True)
@@ -278,7 +279,7 @@ def similar_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
                     members.append(chosen)
             yield pa.RecordBatch.from_arrays([pa.array(names, pa.int64()), pa.array(np.concatenate([np.zeros(0, np.int64), *members]))], names=["bucket", "node"])
 
-    rows = common.arrow_map(own, bands, "key int, node long, print long").repartition("key").sortWithinPartitions("key", "node")
+    rows = common.arrow_map(own, bands, "key long, node long, print long").repartition("key").sortWithinPartitions("key", "node")
     sets = common.stash(common.arrow_map(rows, meet, "bucket long, node long").distinct(), "wide-sets")
     common.release(docs.sparkSession)
     texts = docs.select(F.col(id_col).cast("long").alias("node"), F.col(text_col).alias("words"))

@@ -121,6 +121,19 @@ def test_similar_classes_by_exact_jaccard(documents, prose):
     assert {r.doc_id for r in kept} == {k for k, v in found.items() if k == v}
 
 
+@pytest.mark.parametrize("words", [60, 200, 600])
+def test_similar_classes_of_block_edits(documents, prose, words):
+    texts = []
+    for i in range(80):  # a passage, or the tail, is another one; five-word similarity is just above 0.8
+        w, n = prose(i, words).split(), int(0.1 * words) - 4 * (i % 2)
+        at = (7 * i) % (len(w) - n - 4) + 4 if i % 2 else len(w) - n
+        texts += [w, w[:at] + [f"x{i}y{k}" for k in range(n)] + w[at + n :]]
+    sets = [{tuple(w[i : i + 5]) for i in range(len(w) - 4)} for w in texts]
+    assert all(0.8 <= len(a & b) / len(a | b) < 0.9 for a, b in zip(sets[::2], sets[1::2], strict=True))
+    rows = simhash.similar_classes(documents([(i, " ".join(w)) for i, w in enumerate(texts)])).collect()
+    assert {(r.doc_id, r.component_id) for r in rows} == {(i, i - i % 2) for i in range(160)}
+
+
 def test_similar_classes_odd_rows(odd, documents):
     rows = simhash.similar_classes(odd).collect()
     assert {(r.doc_id, r.component_id) for r in rows} >= {(1, 1), (2, 1), (3, 1), (4, 4)}
