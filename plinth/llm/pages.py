@@ -4,8 +4,9 @@ A page is cut into lines, one per block. Menus, headers, footers, sidebars, noti
 scripts, styles and reader comments that say so (by element, class, id or role) are left out, and lines
 inside an article or main element are the page's own. What neither rule settles is compared with the
 page whose URL path is nearest on the same host: the lines of both are aligned by their longest common
-subsequence, and shared lines that are not inside an article go, as they belong to the site. A neighbour
-that shares nearly all of them is a copy of the page, and says nothing.
+subsequence, and shared lines that are not inside an article go, as they belong to the site. An equal
+neighbour is a copy of the page and says nothing: the one on the other side is compared. Where a neighbour
+shares nearly all lines, it may be a near copy, and only those that the other side shares too go.
 
 Differencing alone can't give right results: passages that articles of one host share are text, and
 menus that differ on every page share no line; hence the elements decide first.
@@ -31,7 +32,7 @@ from pyspark.sql import functions as F
 
 from . import common
 
-COPY = 0.8  # a neighbour that shares more of a page's open lines is a copy of it
+COPY = 0.8  # a neighbour that shares more of a page's open lines may be a copy of it
 
 # Fixed values of HTML: how elements behave.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -227,10 +228,15 @@ def site_lines(pages: DataFrame, row: str) -> DataFrame:
                 beside = [x for x in (r["prev"], r["next"]) if x and x["host"] == r["host"]]
                 if not beside:
                     continue
-                nearest = max(beside, key=lambda x: _nearness(x["path"], r["path"]))
+                beside = [x for x in beside if x["keys"] != r["keys"]]  # an equal page says nothing
+                beside.sort(key=lambda x: -_nearness(x["path"], r["path"]))
                 open_ = set(r["open"])
-                shared = [i for i in common_lines(r["keys"], nearest["keys"]) if i in open_]
-                if shared and len(shared) <= COPY * len(open_):
+                found = [[i for i in common_lines(r["keys"], x["keys"]) if i in open_] for x in beside]
+                shared = found[0] if found else []
+                if len(shared) > COPY * len(open_):  # a near copy, or mostly the site's text: the other one tells
+                    other = set(found[1]) if len(found) > 1 else set()
+                    shared = [i for i in shared if i in other]
+                if shared:
                     rows.append(r["row"])
                     gone.append(shared)
             yield pa.RecordBatch.from_arrays([pa.array(rows, pa.int64()), pa.array(gone, pa.list_(pa.int64()))], names=["row", "lines"])

@@ -68,6 +68,21 @@ def test_differencing_removes_what_neighbours_share(spark):
     assert all(r[3] == len(r[2]) for r in out)
 
 
+def test_differencing_where_site_text_dominates(spark):
+    menu = "".join(f"<div>Section number {k}</div>" for k in range(10))
+    page = lambda i: f"{menu}<p>First of page {i}.</p><p>Second of page {i}.</p>"
+    rows = [(i, f"http://m.example/{i}", page(i)) for i in range(4)] + [(4, "http://m.example/3x", page(3))]  # a copy beside 3
+    text = {r.page_id: r.text for r in pages.extract(spark.createDataFrame(rows, "page_id int, url string, html string")).collect()}
+    assert [text[i] for i in (1, 2)] == [f"First of page {i}.\n\nSecond of page {i}." for i in (1, 2)]
+
+
+def test_a_page_beside_its_copy_is_compared_with_the_next(spark):
+    html = lambda i: f"<div>Home</div><div>Sections</div><p>First of page {i}.</p><p>Second of page {i}.</p>"
+    rows = [(i, f"http://c.example/{i}", html(min(i, 2))) for i in range(4)]
+    text = {r.page_id: r.text for r in pages.extract(spark.createDataFrame(rows, "page_id int, url string, html string")).collect()}
+    assert text[2] == "First of page 2.\n\nSecond of page 2."
+
+
 def test_shared_passages_of_articles_stay(spark):
     rows = [(i, f"http://s.example/{i}", PAGE.format("article", f"<p>Shared passage.</p><p>Own {i}</p>")) for i in range(4)]
     out = pages.extract(spark.createDataFrame(rows, "page_id int, url string, html string")).collect()
