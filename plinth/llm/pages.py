@@ -256,11 +256,7 @@ def extract(pages: DataFrame) -> DataFrame:
             texts = []
             for html, drop in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
                 off = set(drop or ())
-                found = lines_of(html)
-                if any(own for _, own in found):  # the article is marked: what stands outside it is the site's
-                    texts.append("\n\n".join([x for x, own in found if own]))
-                else:
-                    texts.append("\n\n".join([x for i, (x, _) in enumerate(found) if i not in off]))
+                texts.append("\n\n".join([x for i, (x, _) in enumerate(lines_of(html)) if i not in off]))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string())], names=["page_id", "url", "text"])
 
     return common.arrow_map(joined, cut, f"page_id {kind}, url string, text string").withColumn("n_chars", F.length("text").cast("long"))

@@ -68,6 +68,13 @@ def test_differencing_removes_what_neighbours_share(spark):
     assert all(r[3] == len(r[2]) for r in out)
 
 
+def test_differencing_decides_outside_an_article_too(spark):
+    html = lambda i: f"<div>Home</div><h1>Title {i}</h1><article><p>Shared.</p><p>Own {i}.</p></article><div>Imprint</div>"
+    rows = [(i, f"http://t.example/{i}", html(i)) for i in range(3)]
+    text = {r.page_id: r.text for r in pages.extract(spark.createDataFrame(rows, "page_id int, url string, html string")).collect()}
+    assert text == {i: f"Title {i}\n\nShared.\n\nOwn {i}." for i in range(3)}
+
+
 def test_differencing_where_site_text_dominates(spark):
     menu = "".join(f"<div>Section number {k}</div>" for k in range(10))
     page = lambda i: f"{menu}<p>First of page {i}.</p><p>Second of page {i}.</p>"
@@ -78,7 +85,7 @@ def test_differencing_where_site_text_dominates(spark):
 
 def test_a_page_beside_its_copy_is_compared_with_the_next(spark):
     html = lambda i: f"<div>Home</div><div>Sections</div><p>First of page {i}.</p><p>Second of page {i}.</p>"
-    rows = [(i, f"http://c.example/{i}", html(min(i, 2))) for i in range(4)]
+    rows = [(i, f"http://c.example/{i}", html(i)) for i in range(3)] + [(3, "http://c.example/2/copy", html(2))]
     text = {r.page_id: r.text for r in pages.extract(spark.createDataFrame(rows, "page_id int, url string, html string")).collect()}
     assert text[2] == "First of page 2.\n\nSecond of page 2."
 
