@@ -97,7 +97,7 @@ class Index:
         hits = np.flatnonzero(hit)
         best: dict[int, tuple] = {}
         for n in self.lengths:
-            if n < self.size <= len(words):  # items shorter than a shingle: windows are hashed anew
+            if n < self.size and n <= len(words):  # items shorter than a shingle: windows are hashed anew
                 short = shingle_hashes(words, n)
                 starts = np.flatnonzero(np.isin(short, self.known_by_length[n]))
                 windows = [(int(s), n, short[s : s + 1]) for s in starts]

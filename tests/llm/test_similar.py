@@ -134,6 +134,12 @@ def test_similar_classes_of_block_edits(documents, prose, words):
     assert {(r.doc_id, r.component_id) for r in rows} == {(i, i - i % 2) for i in range(160)}
 
 
+def test_short_items_in_short_documents():
+    index = decontaminate.Index([(1, b"a b c"), (2, b"x"), (3, b"a b c d")], 5, 0.8, 15)
+    assert sorted(index.search(b"x a b c")) == [(1, 1, 3, 1.0), (2, 0, 1, 1.0)]
+    assert index.search(b"a b c") == [(1, 0, 3, 1.0)] and index.search(b"b c") == []
+
+
 def test_similar_classes_odd_rows(odd, documents):
     rows = simhash.similar_classes(odd).collect()
     assert {(r.doc_id, r.component_id) for r in rows} >= {(1, 1), (2, 1), (3, 1), (4, 4)}
