@@ -5,7 +5,7 @@ import random
 
 import pytest
 
-from plinth.llm import common, counts, pages, quality
+from plinth.llm import common, counts, pages, quality, queries
 
 ARTICLE = "<h1>Title &amp; more</h1><p>First <b>bold</b>  text&nbsp;here.<br>Second line.<p>Third &lt;one&gt; &copy;</p><ul><li>item one<li>item two</ul>"
 TEXT = "Title & more\n\nFirst bold text here. Second line.\n\nThird <one> ©\n\nitem one\n\nitem two"
@@ -90,6 +90,81 @@ def test_a_page_beside_its_copy_is_compared_with_the_next(spark):
     assert text[2] == "First of page 2.\n\nSecond of page 2."
 
 
+@pytest.mark.parametrize("name", ["site has-sidebar", "post no-comments", "entry-content share-enabled", "login-guide-article", "page", "content"])
+def test_names_of_wrappers_leave_the_article(name):
+    for attribute in ("class", "id"):
+        html = f'<div {attribute}="{name}"><h1>A title</h1><p>The text of the page, which is its main part.</p></div><div class="cookie-notice">Cookies!</div>'
+        assert [x for x, _ in pages.lines_of(html)] == ["A title", "The text of the page, which is its main part."]
+
+
+def test_a_name_does_not_drop_most_of_the_text():
+    text = "<p>All that the page has to say, at some length, is in here.</p>"
+    assert len(pages.lines_of(f'<form id="f"><nav>Menu</nav>{text}</form>')) == 1
+    assert len(pages.lines_of(f'<div class="widget">{text}</div><div class="ad">Buy</div>')) == 1
+    comments = f'<div class="comments">{text * 5}</div>'
+    assert [x for x, _ in pages.lines_of(f"<article><p>Short.</p></article>{comments}")] == ["Short."]
+
+
+def plain_extract(rows):
+    """The query by plain loops: every page against its nearest other page of the host, by a table of all prefixes."""
+
+    def lcs(a, b):
+        best = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
+        for i in range(len(a) - 1, -1, -1):
+            for j in range(len(b) - 1, -1, -1):
+                best[i][j] = best[i + 1][j + 1] + 1 if a[i] == b[j] else max(best[i + 1][j], best[i][j + 1])
+        i = j = 0
+        out = set()
+        while i < len(a) and j < len(b):
+            if a[i] == b[j]:
+                out.add(i)
+                i, j = i + 1, j + 1
+            elif best[i + 1][j] >= best[i][j + 1]:
+                i += 1
+            else:
+                j += 1
+        return out
+
+    hosts = {}
+    for _, url, html in rows:
+        host, path = pages.place_of(url)
+        lines = tuple(pages.all_lines(html))
+        own = hosts.setdefault(host, {})
+        own[lines] = min(path, own.get(lines, path))
+    out = []
+    for page, url, html in rows:
+        host, _ = pages.place_of(url)
+        lines = tuple(pages.all_lines(html))
+        order = sorted(hosts[host].items(), key=lambda x: x[1])
+        at = [k for k, (x, _) in enumerate(order) if x == lines][0]
+        beside = sorted((order[k] for k in (at - 1, at + 1) if 0 <= k < len(order)), key=lambda x: -pages._nearness(x[1], order[at][1]))
+        may = {i for i, (_, own, out_) in enumerate(lines) if not own and not out_}
+        found = [lcs([x[0] for x in lines], [x[0] for x in other]) & may for other, _ in beside]
+        gone = found[0] if found else set()
+        if len(gone) > pages.COPY * len(may):
+            gone &= found[1] if len(found) > 1 else set()
+        text = "\n\n".join(x for i, (x, _, out_) in enumerate(lines) if not out_ and i not in gone)
+        out.append((page, url, text, len(text)))
+    return out
+
+
+def test_query_of_pages_is_the_plain_one(spark, tmp_path):
+    rng = random.Random(4)
+    rows = []
+    for i in range(60):
+        menu = "".join(f"<div>Section {k} of host {i % 4}</div>" for k in range(rng.randrange(2, 8)))
+        wrap = rng.choice(["article", "div", "main", "div class='site has-sidebar'"])
+        body = "".join(f"<p>Paragraph {rng.randrange(10**6)} of page {i}.</p>" for _ in range(rng.randrange(0, 5)))
+        html = f"<html><nav>Nav {i}</nav>{menu}<{wrap}>{body}<p>A passage of all.</p></{wrap.split()[0]}><div>Imprint of host {i % 4}</div><footer>End</footer></html>"
+        rows.append((i, f"https://www.h{i % 4}.example/{rng.choice('abc')}/{i}", html))
+    rows += [(100, rows[0][1] + "/copy", rows[0][2]), (101, None, "<p>x"), (102, "http://z.example/", None), (103, "http://z.example/a", ""), rows[5], (104, "http://z.example/long", "<p>long text &amp; more</p>" * 60_000)]
+    table = spark.createDataFrame([(a, b, c, "clash", 1) for a, b, c in rows], "page_id long, url string, html string, text string, row int")
+    table.write.parquet(f"{tmp_path}/pages.parquet")
+    got = [tuple(r) for r in queries.op1_page_differencing(spark, str(tmp_path)).collect()]
+    key = lambda r: (r[0], r[1] or "")
+    assert sorted(got, key=key) == sorted(plain_extract(rows), key=key)
+
+
 def test_shared_passages_of_articles_stay(spark):
     rows = [(i, f"http://s.example/{i}", PAGE.format("article", f"<p>Shared passage.</p><p>Own {i}</p>")) for i in range(4)]
     out = pages.extract(spark.createDataFrame(rows, "page_id int, url string, html string")).collect()
@@ -157,21 +232,40 @@ def plain_count(trie, word):
 
 def test_trie_counts(prose):
     trie = counts.load(counts.default_path())
-    words = sorted({w for i in range(6) for w in prose(i, 40).split()}) + ["日本", "naïve", "😀😀", "x" * 60, "don't"]
-    for w in words:
+    words = sorted({w for i in range(6) for w in prose(i, 40).split()}) + ["日本", "naïve", "😀😀", "x" * 60, "don't", "y" * 1500]
+    for w, found in zip(words, trie.of([w.encode() for w in words]), strict=True):
         s, n = plain_count(trie, counts.MARK + w)
-        found = trie.of([w])
         assert found[0] == n and math.isclose(found[1], s, rel_tol=1e-9)
-    nodes = len(trie.next)
-    trie.of(words)
-    assert len(trie.next) == nodes  # prefixes are scored once
+    nodes = len(trie.best)
+    trie.known.clear()
+    trie.old.clear()
+    trie.of([w.encode() for w in words[:-1]])
+    assert len(trie.best) == nodes == len(trie.next) + 1  # prefixes are scored once
 
 
-def test_trie_starts_anew_with_the_same_results(prose, monkeypatch):
+def test_query_of_counts_gives_whole_documents(spark, documents, prose, odd, tmp_path):
     trie = counts.load(counts.default_path())
-    texts = [prose(i, 100).split() for i in range(8)]
+    long = " ".join([prose(3, 900)] * 160) + "\u2003tail"
+    for n, table in enumerate((documents([(i, prose(i, 30 * i) + "\x1c\u3000 a") for i in range(12)] + [(99, long)]), odd)):
+        table.write.parquet(f"{tmp_path}/{n}/documents.parquet")
+        got = sorted((r.doc_id or -1, r.n_words, r.n_tokens, round(r.score, 3)) for r in queries.op8_trie_token_counts(spark, f"{tmp_path}/{n}").collect())
+        want = []
+        for r in table.collect():
+            words = (r.text or "").split()
+            seen = {w: plain_count(trie, counts.MARK + w) for w in set(words) if len(w) < 900}
+            if any(len(w) >= 900 for w in words):
+                seen |= {w: (f := trie.of([w.encode()])[0])[::-1] for w in words if len(w) >= 900}
+            want.append((r.doc_id or -1, len(words), sum(seen[w][1] for w in words), round(math.fsum(seen[w][0] for w in words), 3)))
+        for a, b in zip(got, sorted(want), strict=True):
+            assert a[:3] == b[:3] and math.isclose(a[3], b[3], rel_tol=1e-6, abs_tol=1e-2)
+
+
+def test_trie_starts_anew_with_the_same_results(prose, monkeypatch):
+    texts = [list({w.encode(): 1 for w in prose(i, 100).split()}) for i in range(8)]
+    trie = counts.Trie(list(counts.load(counts.default_path()).scores.items()), -20.0)
     whole = [trie.of(t) for t in texts]
     monkeypatch.setattr(counts, "NODES", 50)
+    monkeypatch.setattr(counts, "KNOWN", 20)
     assert [trie.of(t) for t in texts] == whole
 
 
