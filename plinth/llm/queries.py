@@ -33,18 +33,14 @@ def op4_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
     n = F.length("text")
     cut = (n / 4).cast("int")  # floor, as lengths are not negative
     rows = rows.withColumn("edited", F.concat(F.left("text", n - cut), F.left("head", cut)))
-    rows = rows.withColumn("chosen", winnow.fingerprint(F.col("text"))).withColumn("edited_chosen", winnow.fingerprint(F.col("edited")))
+    rows = rows.withColumn("edited_chosen", winnow.edited_fingerprint(F.col("chosen"), F.col("edited").cast("binary"), F.octet_length(F.left("text", n - cut))))
     rows = rows.withColumn("hashes", winnow.hashes(F.col("chosen")))
-
-    def digest(chosen: str):
-        return F.sha2(F.concat_ws(" ", F.col(chosen).cast("array<string>")).cast("binary"), 256)
-
     return rows.select(
         "doc_id",
         n.cast("long").alias("n_chars"),
         F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"),
-        digest("chosen").alias("fingerprint"),
-        digest("edited_chosen").alias("edited_fingerprint"),
+        winnow.text_of(F.col("chosen")).alias("fingerprint"),
+        winnow.text_of(F.col("edited_chosen")).alias("edited_fingerprint"),
         winnow.likeness(F.col("hashes"), winnow.hashes(F.col("edited_chosen"))).alias("near_edited"),
         winnow.likeness(F.col("hashes"), F.col("next_hashes")).alias("near_next"),
     )

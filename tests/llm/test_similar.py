@@ -256,60 +256,90 @@ def test_word_hashes_agree_between_texts(monkeypatch):
     assert word_hashes(long, LOWER).tolist() == whole and word_hashes(None).tolist() == []
 
 
-def plain_winnow(text, piece=winnow.PIECE, k=winnow.K, window=winnow.WINDOW):
-    """Pieces and, per window, the position chosen: the rightmost least; hashes come from Spark."""
-    import re
+def plain_winnow(text, k=winnow.K, window=winnow.WINDOW):
+    """(position, hash) of each window's least hash, the rightmost of equal ones."""
+    text = text.encode()
+    high = [((xxhash.xxh64_intdigest(text[i : i + k], 42)) >> winnow.BITS) & ((1 << 39) - 1) for i in range(max(1, len(text) - k + 1))] if text else []
+    out = []
+    for s in range(max(1, len(high) - window + 1)) if high else ():
+        h, p = min((high[p], -p) for p in range(s, min(s + window, len(high))))
+        if (-p, h) not in out[-1:]:
+            out.append((-p, h))
+    return out
+
 
-    return re.findall(rf"[^ \t\n\x0b\f\r]{{1,{piece}}}", text)
+def elements(raw):
+    """A fingerprint's text, read by hand."""
+    found = [int(x) for x in raw.split()]
+    return [(-x & winnow.LOW, (x + winnow.LOW) >> winnow.BITS) for x in found]
 
 
 def test_winnowing_rule(spark, prose):
     from pyspark.sql import functions as F
 
-    texts = ["", "ab", "abcd efgh", "aaaa " * 60, prose(1, 200), "x" * 300, prose(2, 15), "日本語😀" * 20]
-    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, text string")
-    pieces = F.regexp_extract_all("text", F.lit(r"\S{1,4}"), F.lit(0))
-    rows = df.select("i", "text", pieces.alias("pieces"), F.transform(pieces, lambda p: F.xxhash64(p)).alias("h"), winnow.fingerprint(F.col("text")).alias("chosen")).collect()
-    grams = {}
-    flat = [(r.i, at, r.h[at], r.h[at + 1], r.h[at + 2]) for r in rows for at in range(len(r.h) - 2)]
-    for r in spark.createDataFrame(flat, "i int, at int, a long, b long, c long").select("i", "at", F.xxhash64("a", "b", "c").alias("g")).collect():
-        grams.setdefault(r.i, {})[r["at"]] = r.g >> 24
-    for r in rows:
-        assert r.pieces == plain_winnow(r.text)
-        found = [(x >> 24, winnow.LOW - (x & winnow.LOW)) for x in r.chosen]
-        g = grams.get(r.i, {})
-        if not g:
-            assert len(found) == (1 if r.pieces else 0)
-            continue
-        want = []
-        for s in range(max(1, len(g) - winnow.WINDOW + 1)):
-            own = [(g[p], -p) for p in range(s, min(s + winnow.WINDOW, len(g)))]
-            h, p = min(own)
-            if (h, -p) not in want:
-                want.append((h, -p))
-        assert found == want
-
-
-def test_winnowing_guarantee_and_query(spark, prose, tmp_path):
-    shared = prose(77, 60)
-    rows = [(10, prose(1, 80) + " " + shared), (3, shared + " " + prose(2, 80)), (7, None), (5, ""), (20, prose(3, 300)), (21, prose(3, 300)), (2, "ab")]
-    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
-    out = {r.doc_id: r for r in queries.op4_winnowing(spark, str(tmp_path)).collect()}
-    assert len(out) == len(rows)
-    order = sorted((i, t or "") for i, t in rows)
-    for n, (i, t) in enumerate(order):
-        following = order[(n + 1) % len(order)][1]
-        q = len(t) // 4
-        edited = t[: len(t) - q] + following[:q]
-        assert out[i].n_chars == len(t) and out[i].edited_sha256 == hashlib.sha256(edited.encode()).hexdigest()
-        assert 0 <= out[i].near_edited <= 1 and 0 <= out[i].near_next <= 1
-    assert out[20].fingerprint == out[21].fingerprint and out[20].near_next == 1.0
-    assert out[20].near_edited > 0.4 and out[10].near_next < 0.3 and out[5].near_next == 1.0  # two empty texts
+    texts = ["", "ab", "x" * 15, "abcd efgh ijkl m", "aaaa " * 60, prose(1, 200), "x" * 300, prose(2, 15), "日本語😀" * 40, prose(3, 40) + "\n\r\n\u2028😀" + prose(4, 30), None]
+    df = spark.createDataFrame(list(enumerate(texts)), "i int, text string").withColumn("text", F.coalesce("text", F.lit("")))
+    for r in df.select("i", "text", winnow.fingerprint(F.col("text").cast("binary")).alias("chosen")).select("*", winnow.positions(F.col("chosen")).alias("at"), winnow.hashes(F.col("chosen")).alias("h")).collect():
+        want = plain_winnow(r.text)
+        assert elements(" ".join(map(str, r.chosen))) == want and r.at == [p for p, _ in want] and r.h == list(dict.fromkeys(h for _, h in want)), r.text
+
+
+def test_winnowing_guarantee(spark):
+    """Passages of WINDOW + K - 1 bytes share a chosen hash wherever they stand, in text without blanks, too."""
     from pyspark.sql import functions as F
 
-    both = spark.createDataFrame([(rows[0][1], rows[1][1])], "a string, b string")
-    a, b = both.select(winnow.hashes(winnow.fingerprint(F.col("a"))), winnow.hashes(winnow.fingerprint(F.col("b")))).first()
-    assert set(a) & set(b)
+    rng = random.Random(8)
+    make = lambda n: "".join(rng.choice("日本語中文字abc0123456789") for _ in range(n))
+    rows = []
+    for i in range(200):
+        passage = make(winnow.WINDOW + winnow.K - 1)
+        rows.append((i, make(rng.randrange(300)) + passage + make(rng.randrange(300)), make(rng.randrange(300)) + passage + make(rng.randrange(300))))
+    whole = make(2000)
+    rows += [(1000, whole, "x" + whole), (1001, whole, whole[:1000] + "y" + whole[1000:])]
+    df = spark.createDataFrame(rows, "i int, a string, b string")
+    a, b = (winnow.hashes(winnow.fingerprint(F.col(c).cast("binary"))).alias(c) for c in "ab")
+    found = df.select("i", a, b).withColumn("near", winnow.likeness(F.col("a"), F.col("b"))).collect()
+    assert all(set(r.a) & set(r.b) for r in found)
+    assert all(r.near > 0.9 for r in found if r.i >= 1000)
+
+
+def test_query_of_winnowing_is_the_plain_one(spark, prose, tmp_path):
+    long = (prose(5, 500) + " ") * 300  # more than a million characters
+    cases = [
+        [(10, prose(1, 80)), (3, prose(77, 60) + " " + prose(2, 80)), (7, None), (5, ""), (20, prose(3, 300)), (21, prose(3, 300)), (2, "ab"), (30, long[:1_100_000]), (31, "日本語😀" * 90), (40, "z" * 75), (41, "z" * 400)],
+        [(1, "only one row, and it follows itself " * 5)],
+        [(4, "a b"), (None, "no id " * 40), (9, "w " * 200)],
+        [],
+    ]
+    for n, rows in enumerate(cases):
+        spark.createDataFrame([(i, t, "clash", 5) for i, t in rows], "doc_id long, text string, head string, key int").write.parquet(f"{tmp_path}/{n}/documents.parquet")
+        out = {r.doc_id: r for r in queries.op4_winnowing(spark, f"{tmp_path}/{n}").collect()}
+        assert len(out) == len(rows)
+        order = sorted(((i, t or "") for i, t in rows), key=lambda r: (r[0] is not None, r[0] or 0))
+        for k, (i, t) in enumerate(order):
+            following, r = order[(k + 1) % len(order)][1], out[i]
+            cut = len(t) // 4
+            edited = t[: len(t) - cut] + following[:cut]
+            assert r.n_chars == len(t) and r.edited_sha256 == hashlib.sha256(edited.encode()).hexdigest()
+            if len(t) > 10**6:  # the plain version takes long: its beginning and end tell
+                assert elements(r.edited_fingerprint)[:500] == elements(r.fingerprint)[:500]
+                assert elements(r.fingerprint)[:500] == plain_winnow(t[:30_000])[:500]
+                shift = len(edited) - 3000
+                assert [(p + shift, h) for p, h in plain_winnow(edited[-3000:])][9:] == elements(r.edited_fingerprint)[-len(plain_winnow(edited[-3000:])) + 9 :]
+                continue
+            f, e, g = plain_winnow(t), plain_winnow(edited), plain_winnow(following)
+            assert elements(r.fingerprint) == f and elements(r.edited_fingerprint) == e
+            jaccard = lambda x, y: 1.0 if not x and not y else len(x & y) / len(x | y)
+            assert abs(r.near_edited - jaccard({h for _, h in f}, {h for _, h in e})) < 1e-12
+            if len(following) < 10**6:
+                assert abs(r.near_next - jaccard({h for _, h in f}, {h for _, h in g})) < 1e-12
+
+
+def test_winnowing_keeps_rows_that_share_an_id(spark, prose, tmp_path):
+    spark.createDataFrame([(1, prose(1, 50)), (1, prose(1, 50)), (1, None), (2, prose(2, 50))], "doc_id int, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    out = queries.op4_winnowing(spark, str(tmp_path)).collect()
+    assert sorted(r.doc_id for r in out) == [1, 1, 1, 2]
+    assert len({r.fingerprint for r in out if r.doc_id == 1}) == 2
 
 
 def test_winnowing_is_native(spark, tmp_path):
