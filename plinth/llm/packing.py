@@ -7,14 +7,15 @@ cut them: full-length pieces make sequences of their own, the rest is placed by
 when nothing fits, the best item is cut to fill the bin. What a partition has left at its end is
 dealt into sequences whose lengths are powers of two, which need no padding.
 
-Placement happens inside each input partition, one bounded pool at a time: no shuffle, no group of
-any size in one place. Defined cases: a null text is empty (its document is the end id alone); a null
+Items of equal demand are one class, and classes are scored, not items. Placement happens inside each
+input partition, one bounded pool at a time: no shuffle, no group of any size in one place. Defined cases: a null text is empty (its document is the end id alone); a null
 id stays null; repeated rows are packed each; an empty table gives no rows; other columns are ignored.
 Run it over a stored table, so that a task that is tried again sees the same rows in the same order.
 """
 
 from __future__ import annotations
 
+from collections import deque
 from collections.abc import Iterator
 
 import numpy as np
@@ -23,7 +24,7 @@ from pyspark.sql import DataFrame
 
 from . import common, tokens
 
-POOL = 1024  # items among which the open bin may choose
+POOL = 4096  # items among which the open bin may choose
 LEAST_WASTE = 16  # tokens of padding that are left rather than cutting on
 SCHEMA = "{id} {kind}, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long"
 
@@ -34,8 +35,16 @@ class Packer:
     def __init__(self, max_tokens: int, max_segments: int, max_loss: int, cut: bool, base: int = 0):
         self.limits = np.array([max_tokens, max_segments, max_loss], dtype=float)
         self.cut, self.bin = cut, base
-        self.pool: list[tuple] = []
         self.full = min(max_tokens, max_loss)
+        self.count = 0
+        self.classes: dict[tuple[int, int], int] = {}  # (tokens, loss) to a row of the tables
+        self.items: list[deque] = []  # (tag, start) of each class, in order of arrival
+        self.demand = np.zeros((64, 3))
+        self.free = np.zeros(64, dtype=bool)
+
+    @property
+    def waiting(self) -> set:
+        return {tag for own in self.items for tag, _ in own}
 
     def add(self, tag, n: int, loss: int) -> Iterator[tuple]:
         start = 0
@@ -51,42 +60,70 @@ class Packer:
             loss = loss - loss * start // n
         elif n > self.limits[0] or loss > self.limits[2]:
             raise ValueError(f"example {tag!r} of {n} tokens, {loss} with loss, fits no sequence")
-        self.pool.append((tag, start, n - start, loss))
-        if len(self.pool) >= POOL:
+        self._put(tag, start, n - start, loss)
+        if self.count >= POOL:
             yield from self.fill(POOL // 2)
 
+    def _put(self, tag, start: int, n: int, loss: int, first: bool = False) -> None:
+        k = self.classes.get((n, loss))
+        if k is None:
+            k = self.classes[n, loss] = len(self.items)
+            self.items.append(deque())
+            if k >= len(self.demand):
+                self.demand, self.free = np.r_[self.demand, np.zeros_like(self.demand)], np.r_[self.free, np.zeros_like(self.free)]
+            self.demand[k] = np.array([n, 1, loss]) / self.limits
+        (self.items[k].appendleft if first else self.items[k].append)((tag, start))
+        self.free[k] = True
+        self.count += 1
+
+    def _take(self, k: int) -> tuple:
+        tag, start = self.items[k].popleft()
+        self.free[k] = bool(self.items[k])
+        self.count -= 1
+        return tag, start
+
+    def _tidy(self) -> None:
+        """Drops classes without items once they are the most."""
+        if len(self.items) > 2 * POOL:
+            old = [(key, self.items[k]) for key, k in self.classes.items() if self.items[k]]
+            self.classes, self.items, self.count = {}, [], 0
+            self.free[:] = False
+            for (n, loss), own in old:
+                for tag, start in own:
+                    self._put(tag, start, n, loss)
+
     def fill(self, keep: int) -> Iterator[tuple]:
         """Closes full bins until at most ``keep`` items are left."""
-        pool = self.pool
-        demand = np.array([(n, 1, loss) for _, _, n, loss in pool], dtype=float).reshape(-1, 3) / self.limits
-        free = np.ones(len(pool), dtype=bool)
-        left_items = len(pool)
-        while left_items > keep:
+        self._tidy()
+        sizes = {k: key for key, k in self.classes.items()}
+        while self.count > keep:
             room, placed, used = np.ones(3), [], 0
-            while left_items:
+            while self.count:
+                n_classes = len(self.items)
+                demand, free = self.demand[:n_classes], self.free[:n_classes]
                 fits = free & (demand <= room + 1e-9).all(1)
-                if fits.any():
+                whole = bool(fits.any())
+                if whole:
                     best = int(np.where(fits, demand @ room, -1.0).argmax())
                 elif self.cut and used < self.limits[0] and room[1] * self.limits[1] > 0.5 and room[2] * self.limits[2] >= 1:
                     best = int(np.where(free, demand @ room, -1.0).argmax())
                 else:
                     break
-                tag, start, n, loss = pool[best]
-                if fits[best]:
-                    free[best] = False
-                    left_items -= 1
-                    take, lost = n, loss
-                else:
+                n, loss = sizes[best]
+                tag, start = self._take(best)
+                take, lost = n, loss
+                if not whole:
                     take = int(min(n, self.limits[0] - used))
                     lost = -(-loss * take // n)
                     if lost > (most := round(room[2] * self.limits[2])):
                         take, lost = max(1, int(take * most / lost)), int(most)
-                    pool[best] = (tag, start + take, n - take, max(0, loss - lost))
-                    demand[best] = np.array([n - take, 1, max(0, loss - lost)]) / self.limits
+                    rest = n - take, max(0, loss - lost)
+                    self._put(tag, start + take, *rest, first=True)
+                    sizes[self.classes[rest]] = rest
                 placed.append((tag, start, take))
                 used += take
                 room = room - np.array([take, 1, lost]) / self.limits
-            if self.cut and not left_items and self.limits[0] - used > LEAST_WASTE:
+            if self.cut and not self.count and self.limits[0] - used > LEAST_WASTE:
                 yield from self._powers(placed, used)
                 continue
             at = 0
@@ -94,7 +131,6 @@ class Packer:
                 yield tag, start, n, self.bin, at
                 at += n
             self.bin += 1
-        self.pool = [x for x, stays in zip(pool, free, strict=True) if stays]
 
     def _powers(self, placed: list[tuple], used: int) -> Iterator[tuple]:
         room = 1 << (used.bit_length() - 1)
@@ -109,7 +145,7 @@ class Packer:
                     at, room = 0, 1 << max(used.bit_length() - 1, 0)
 
     def finish(self) -> Iterator[tuple]:
-        if self.pool:
+        if self.count:
             yield from self.fill(0)
 
 
@@ -135,7 +171,7 @@ def pack_documents(docs: DataFrame, tokenizer_path: str | None = None, id_col: s
         schema = None
 
         def emit(pieces) -> pa.RecordBatch:
-            rows = [(held[tag][0], start, n, held[tag][1][4 * start : 4 * (start + n)], len(held[tag][1]) // 4, seq, at) for tag, start, n, seq, at in pieces]
+            rows = [(held[tag][0], start, n, held[tag][1][start : start + n].tobytes(), len(held[tag][1]), seq, at) for tag, start, n, seq, at in pieces]
             columns = list(zip(*rows, strict=True)) if rows else [[]] * 7
             return pa.RecordBatch.from_arrays([pa.array(c, type=f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
 
@@ -143,17 +179,16 @@ def pack_documents(docs: DataFrame, tokenizer_path: str | None = None, id_col: s
             if schema is None:
                 long = pa.int64()
                 schema = pa.schema([(id_col, batch.schema.field(0).type), ("start", long), ("length", long), ("ids", pa.binary()), ("doc_tokens", long), ("sequence_id", long), ("offset", long)])
-            for at in range(0, batch.num_rows, 512):
-                part = batch.slice(at, 512)
+            for part in tokens.portions(batch, 1):
                 out = []
-                for key, ids in zip(part.column(0).to_pylist(), tokens.encode_all(part.column(1).to_pylist(), path, end_id), strict=True):
-                    held[count] = (key, ids)
-                    out += packer.add(count, len(ids) // 4, len(ids) // 4)
+                ids, ends = tokens.encode_column(part.column(1), path, end_id)
+                for key, own in zip(part.column(0).to_pylist(), np.split(ids, ends[:-1]), strict=True):
+                    held[count] = (key, own)
+                    out += packer.add(count, len(own), len(own))
                     count += 1
                 yield emit(out)
-                waiting = {x[0] for x in packer.pool}
-                for tag in [t for t in held if t not in waiting]:
-                    del held[tag]
+                waiting = packer.waiting
+                held = {tag: (held[tag][0], held[tag][1].copy() if held[tag][1].base is not None else held[tag][1]) for tag in held.keys() & waiting}
         if schema is not None:
             yield emit(list(packer.finish()))
 

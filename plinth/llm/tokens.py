@@ -1,11 +1,13 @@
-"""Exact token ids by a public ``tokenizers`` file, with one model call per distinct word.
-
-The byte-level pre-tokeniser never joins a run of non-space characters with what follows it, and of
-a run of white space only a last blank joins the next word. So a text may be cut before each blank
-that has a non-space character on its right, and around a line feed between two such characters,
-and the ids of the pieces joined are the ids of the text. A piece of letters is one pre-token, which
-the library's model encodes; any other piece goes through the whole library. Each distinct piece is
-encoded once per worker; ids are kept as little-endian unsigned 32-bit bytes and joined.
+"""Exact token ids by a public ``tokenizers`` file, with the library called for distinct pieces only.
+
+The byte-level pre-tokeniser never joins a character that is no white space with white space behind
+it, nor ASCII letters, digits and punctuation with each other (but for an apostrophe and the letters
+behind it). So a text may be cut before an ASCII white space that follows another character, and where
+such classes change, and the ids of the pieces joined are the ids of the text. The cuts of a whole
+Arrow column are found in its bytes, its pieces are numbered by Arrow's dictionary, and only those not
+yet known are encoded: one of letters, of digits or of punctuation (perhaps after a blank) is one
+pre-token, which the library's model encodes; any other goes through the whole library. Pieces keep
+their ids in the worker; ids are unsigned 32-bit, little-endian.
 """
 
 from __future__ import annotations
@@ -16,17 +18,34 @@ import re
 import struct
 from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+
 END_ID = 0
-CACHED = 200_000  # pieces of a generation, about 50 MB; a worker keeps two
-SLICE = 1 << 20  # code points of a text handled at once
+CACHED = 300_000  # pieces of a generation, about 60 MB; a worker keeps two
+SLICE = 8 << 20  # bytes of a column handled at once
 
 PUNCTUATION = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
 
 #: The bytes that the byte-level alphabet shows as other characters, in the order of those from U+0100 on.
 _shown = {byte: 256 + i for i, byte in enumerate([*range(33), *range(127, 161), 173])}
-_cut = re.compile(r"(?<=\S) (?=\S)")
 _loaded: dict[str, Encoder] = {}
 
+#: What a byte may be: ASCII white space, a control character that some hold for one, the first byte of another one.
+OTHER, BLANK, CONTROL, LEAD = range(4)
+_kinds = np.zeros(256, dtype=np.uint8)
+_kinds[[9, 10, 11, 12, 13, 32]] = BLANK
+_kinds[0x1C:0x20] = CONTROL
+_kinds[[0xC2, 0xE1, 0xE2, 0xE3]] = LEAD
+_wide_blanks = np.array(sorted(int.from_bytes(chr(c).encode().ljust(3, b"\0"), "big") for c in (0x85, 0xA0, 0x1680, 0x180E, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)))
+
+#: ASCII letters, digits, punctuation and the apostrophe, and between which of them (or anything else) a token surely ends.
+_classes = np.array([1 if chr(b).isascii() and chr(b).isalpha() else 2 if 48 <= b <= 57 else 4 if b == 39 else 3 if 32 < b < 127 else 0 for b in range(256)], dtype=np.uint8)
+_safe = np.array([9, 10, 11, 12, 13, 32], dtype=np.uint8)  # where a block may end
+_parts = np.zeros(25, dtype=bool)
+_parts[[5 * a + b for a, b in ((1, 2), (1, 3), (1, 4), (2, 1), (2, 3), (2, 4), (3, 1), (3, 2))]] = True
+
 
 def default_path() -> str:
     import public_tokenizers
@@ -34,24 +53,6 @@ def default_path() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
-class Cache(dict):
-    """A dict of ids by piece in two generations: a full one becomes the old, which is asked once more."""
-
-    def __init__(self, make):
-        super().__init__()
-        self.make, self.old = make, {}
-
-    def __missing__(self, piece: str) -> bytes:
-        if len(self) >= CACHED:
-            self.old = dict(self)
-            self.clear()
-        found = self.old.get(piece)
-        if found is None:
-            found = self.make(piece)
-        self[piece] = found
-        return found
-
-
 class Encoder:
     """A tokenizer file's exact ids, as bytes."""
 
@@ -60,39 +61,148 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.model._resize_cache(0)  # words are kept here, after their ids are joined
+        self.tokenizer.model._resize_cache(0)  # pieces are kept here
         self.model = self.tokenizer.model.tokenize
+        special = [re.escape(t.content) for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.special = re.compile("|".join(special).encode() or b"(?!)")
         self.id_bytes = [struct.pack("<I", i) for i in range(self.tokenizer.get_vocab_size())]
         self.feed = self.whole("\n")
-        self.stems, self.rests, self.parts, self.others = Cache(self.letters), Cache(self.whole), Cache(self.part), Cache(self.whole)
+        self.known: dict[bytes, bytes] = {}
+        self.old: dict[bytes, bytes] = {}
 
     def whole(self, text: str) -> bytes:
         return b"".join([self.id_bytes[i] for i in self.tokenizer.encode(text, add_special_tokens=False).ids])
 
-    def letters(self, word: str) -> bytes:
-        """The ids of a pre-token: letters, perhaps after a blank."""
-        if word.isascii():
-            shown = "\u0120" + word[1:] if word[0] == " " else word
+    def piece(self, raw: bytes) -> bytes:
+        text = raw.decode("utf-8", "replace")
+        lead, word = (self.feed, text[1:]) if text[0] == "\n" else (b"", text)
+        core = word[1:] if word[:1] == " " and not lead else word
+        if not core or not (core.isalpha() or core.isascii() and (core.isdigit() or not core.strip(PUNCTUATION))):
+            return self.whole(text)
+        if text.isascii():
+            shown = "\u0120" + core if word[0] == " " else core
         else:
             shown = word.encode().decode("latin-1").translate(_shown)
-        return b"".join([self.id_bytes[t.id] for t in self.model(shown)])
-
-    def part(self, part: str) -> bytes:
-        """The ids of a word after a blank, or of a line feed and the word that follows it."""
-        lead, word = (self.feed, part[1:]) if part[0] == "\n" else (b"", " " + part)
-        stem = word.rstrip(PUNCTUATION)
-        if not stem.lstrip(" ").isalpha():
-            return lead + self.others[word]
-        return lead + self.stems[stem] + (self.rests[word[len(stem) :]] if len(stem) < len(word) else b"")
-
-    def encode(self, text: str) -> bytes:
-        # single blanks and line feeds between words, and no special token: all parts are found by themselves
-        words = text.replace("\n", " \n").split(" ")
-        flat = text.replace("\n", " ")
-        if "" in words or "\n" in words or "<|" in text or not (flat.isprintable() or flat.split() == flat.split(" ")):
-            return b"".join([self.others[piece] for piece in pieces(text)])
-        words[0] = "\n" + words[0]
-        return b"".join(map(self.parts.__getitem__, words))[4:]  # without the line feed put before
+        return lead + b"".join([self.id_bytes[t.id] for t in self.model(shown)])
+
+    def of(self, pieces: list[bytes]) -> list[bytes]:
+        """The ids of distinct pieces. Known ones stay in two generations; a full one becomes the old."""
+        if len(self.known) >= CACHED:
+            self.old, self.known = self.known, {}
+        known, old, out = self.known, self.old, []
+        for p in pieces:
+            ids = known.get(p)
+            if ids is None:
+                ids = known[p] = old.get(p) or self.piece(p)
+            out.append(ids)
+        return out
+
+    def column(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts of an Arrow string column in a row, and where those of each end. Nulls have none."""
+        n = len(texts)
+        offsets, data = byte_column(texts)
+        ids, cut_ids, seen = [], [np.zeros(1, np.int64)], 0
+        at_text = 0  # texts whose end is not yet counted
+        collects = gc.isenabled()
+        gc.disable()  # only flat objects are made here; walking them costs a tenth of the time
+        try:
+            for begins, end in blocks(data, offsets, self.special):
+                some, counts = self.pieces_of(data, begins, end)
+                ids.append(some)
+                before = np.r_[0, np.cumsum(counts)]
+                closed = int(np.searchsorted(offsets[1:], end, "right")) if end < len(data) else n
+                places = np.searchsorted(begins, offsets[1 + at_text : 1 + closed], "left")
+                cut_ids.append(seen + before[places])
+                at_text, seen = closed, seen + len(some)
+        finally:
+            if collects:
+                gc.enable()
+        ends = np.concatenate(cut_ids)[1:]
+        if len(ends) < n:  # all texts are empty
+            ends = np.r_[ends, np.full(n - len(ends), seen)].astype(np.int64)
+        return (np.concatenate(ids) if ids else np.zeros(0, "<u4")), ends
+
+    def pieces_of(self, data: np.ndarray, begins: np.ndarray, end: int) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of the pieces that begin at these places, and how many each has."""
+        first = int(begins[0])
+        places = np.r_[begins - first, end - first].astype(np.int32)
+        column = pa.Array.from_buffers(pa.binary(), len(begins), [None, pa.py_buffer(places), pa.py_buffer(data[first:end])])
+        coded = column.dictionary_encode()
+        found = self.of(coded.dictionary.to_pylist())
+        size = np.fromiter(map(len, found), np.int32, len(found)) >> 2
+        flat = np.frombuffer(b"".join(found), "<u4")
+        codes = coded.indices.to_numpy()
+        counts = size[codes]
+        ends = np.cumsum(counts, dtype=np.int32)
+        begin = (np.cumsum(size, dtype=np.int32) - size)[codes] - (ends - counts)
+        return flat[np.repeat(begin, counts) + np.arange(ends[-1], dtype=np.int32)], counts
+
+
+def byte_column(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Offsets (from 0) and bytes of an Arrow string column; nulls are empty."""
+    if isinstance(texts, pa.ChunkedArray):
+        texts = texts.combine_chunks()
+    if texts.null_count:
+        texts = pc.fill_null(texts, "")
+    if pa.types.is_large_string(texts.type) or pa.types.is_large_binary(texts.type):
+        kind = np.int64
+    else:
+        kind = np.int32
+    _, places, raw = texts.buffers()
+    if not len(texts) or raw is None:
+        return np.zeros(len(texts) + 1, np.int64), np.zeros(0, np.uint8)
+    offsets = np.frombuffer(places, kind)[texts.offset : texts.offset + len(texts) + 1].astype(np.int64)
+    return offsets - offsets[0], np.frombuffer(raw, np.uint8)[offsets[0] : offsets[-1]]
+
+
+def spaces(data: np.ndarray, wide: np.ndarray = _wide_blanks) -> np.ndarray:
+    """Which bytes belong to a white space character (or to a control character that Python holds for one)."""
+    kind = _kinds[data]
+    space = (kind == BLANK) | (kind == CONTROL)
+    lead = np.flatnonzero(kind == LEAD)
+    if len(lead):
+        padded = np.r_[data, np.zeros(2, np.uint8)]
+        narrow = data[lead] == 0xC2
+        char = (data[lead].astype(np.int64) << 16) | (padded[lead + 1].astype(np.int64) << 8) | np.where(narrow, 0, padded[lead + 2])
+        found = np.isin(char, wide)
+        for k in range(3):
+            space[lead[found & ~(narrow & (k == 2))] + k] = True
+    return space
+
+
+def blanks(data: np.ndarray) -> np.ndarray:
+    """Places of ASCII white space that follows a character that is surely none, so that a cut before it changes nothing."""
+    return np.flatnonzero((_kinds[data[1:]] == BLANK) & ~spaces(data)[:-1]) + 1
+
+
+def blocks(data: np.ndarray, offsets: np.ndarray, special: re.Pattern):
+    """The column's bytes in blocks of about SLICE: the places where pieces begin, and where the block ends."""
+    starts = offsets[:-1][offsets[1:] > offsets[:-1]]  # of texts that are not empty
+    at = 0
+    while at < len(data):
+        size = SLICE
+        while True:
+            end = min(len(data), at + size)
+            own = data[at:end]
+            cut = np.zeros(len(own), dtype=bool)
+            cut[blanks(own)] = True
+            if not special.search(own):
+                kind = _classes[own]
+                cut[1:] |= _parts[kind[:-1] * np.uint8(5) + kind[1:]]
+            cut[0] = True
+            cut[starts[np.searchsorted(starts, at) : np.searchsorted(starts, end)] - at] = True
+            cuts = np.flatnonzero(cut) + at
+            if end == len(data):
+                break
+            # the last piece may go on; before white space the next byte matters less than its own first
+            safe = cuts[np.isin(data[cuts], _safe)]
+            if len(safe) and safe[-1] > at:
+                end = int(safe[-1])
+                cuts = cuts[cuts < end]
+                break
+            size *= 2
+        yield cuts, end
+        at = end
 
 
 def load(path: str) -> Encoder:
@@ -101,61 +211,30 @@ def load(path: str) -> Encoder:
     return _loaded[path]
 
 
-def pieces(text: str) -> list[str]:
-    """The text cut into parts whose ids can be found one by one."""
-    parts = text.split(" ")
-    if len(parts) == 1 and "\n" not in text:
-        return [text] if text else []
-    out: list[str] = []
-    add = out.append
-    lead = ""
-    for part in parts:
-        word = lead + part
-        lead = " "
-        if not part or part[0].isspace():  # a run of white space: what stands before it joins
-            if out:
-                out[-1] += word
-            else:
-                add(word)
-        elif "\n" in word:
-            at = 0
-            while (i := word.find("\n", at)) >= 0:
-                if 0 < i < len(word) - 1 and not word[i - 1].isspace() and not word[i + 1].isspace():
-                    out += (word[at:i], "\n") if i > at else ("\n",)
-                    at = i + 1
-                else:  # leave longer runs whole
-                    break
-            if at < len(word):
-                add(word[at:])
-        else:
-            add(word)
-    return out
-
-
-def slices(text: str) -> Iterator[str]:
-    """Texts of any length in parts of about SLICE, cut before a blank between two other characters."""
+def portions(batch: pa.RecordBatch, column: int) -> Iterator[pa.RecordBatch]:
+    """The batch in slices with at most SLICE bytes of a string column, or one row."""
+    offsets, _ = byte_column(batch.column(column))
     at = 0
-    while len(text) - at > 2 * SLICE:
-        found = _cut.search(text, at + SLICE)
-        if not found:
-            break
-        yield text[at : found.start()]
-        at = found.start()
-    yield text[at:] if at else text
+    while at < batch.num_rows:
+        end = max(at + 1, int(np.searchsorted(offsets, offsets[at] + SLICE, "right")) - 1)
+        yield batch.slice(at, end - at)
+        at = end
 
 
-def encode(texts: list[str], path: str) -> list[bytes]:
-    """The ids of each text, without special tokens, as little-endian unsigned 32-bit bytes."""
-    one = load(path).encode
-    collects = gc.isenabled()
-    gc.disable()  # only flat objects are made here; walking them costs a tenth of the time
-    try:
-        return [b"".join(map(one, slices(text))) if text else b"" for text in texts]
-    finally:
-        if collects:
-            gc.enable()
+def encode_column(texts: pa.Array, path: str, end_id: int | None = END_ID) -> tuple[np.ndarray, np.ndarray]:
+    """The ids of a column's texts in a row, each followed by the end id, and where each ends."""
+    ids, ends = load(path).column(texts)
+    if end_id is None:
+        return ids, ends
+    return np.insert(ids, ends, end_id), ends + np.arange(1, len(ends) + 1)
 
 
 def encode_all(texts: list[str | None], path: str, end_id: int | None = END_ID) -> list[bytes]:
-    end = b"" if end_id is None else struct.pack("<I", end_id)
-    return [ids + end for ids in encode([t or "" for t in texts], path)]
+    """The ids of each text, as bytes."""
+    ids, ends = encode_column(pa.array(texts, pa.string()), path, end_id)
+    return [x.tobytes() for x in np.split(ids, ends[:-1])] if len(ends) else []
+
+
+def encode(texts: list[str], path: str) -> list[bytes]:
+    """The ids of each text, without an end id."""
+    return encode_all(texts, path, None)
