@@ -53,10 +53,14 @@ def arrow_map(df: DataFrame, run: Callable, schema: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """``spark.checkpoint.dir``; only where that is unset (tests, one machine) a new local folder."""
+    """``spark.checkpoint.dir``. Where that is unset, a new local folder if all runs on one machine, else ValueError."""
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
-        path = "file://" + tempfile.mkdtemp(prefix="plinth-shared-")
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        folder = tempfile.mkdtemp(prefix="plinth-shared-")
+        atexit.register(shutil.rmtree, folder, ignore_errors=True)
+        path = f"file://{folder}"
         spark.conf.set("spark.checkpoint.dir", path)
     return path.rstrip("/")
 
@@ -74,23 +78,62 @@ def remove(spark: SparkSession, *paths: str) -> None:
 
 
 def release(spark: SparkSession) -> None:
-    """Lets Spark's cleaner delete the shuffle files of jobs whose results are already stored."""
+    """A hint to delete the shuffle files of jobs whose results are stored: Spark's cleaner does so once
+    the driver's references to them are collected, which else may wait for long. No result depends on it."""
     gc.collect()
     spark._jvm.System.gc()
 
 
+def fresh(df: DataFrame, name: str) -> str:
+    """A column name that df doesn't have, in any case of letters."""
+    taken = {c.lower() for c in df.columns}
+    out = f"__{name}"
+    while out in taken:
+        out += "_"
+    return out
+
+
 def new_path(spark: SparkSession, tag: str) -> str:
     return f"{shared_dir(spark)}/plinth-{tag}-{uuid.uuid4().hex[:12]}"
 
 
+_stored: dict[str, list[str]] = {}  # stashed tables of each application
+
+
+def _forget(context, paths: list[str]) -> None:
+    """Deletes stashed tables before their application ends."""
+    try:
+        for path in paths:
+            p = context._jvm.org.apache.hadoop.fs.Path(path)
+            p.getFileSystem(context._jsc.hadoopConfiguration()).delete(p, True)
+    except Exception:  # the driver's JVM is gone already: the shared folder's owner cleans up
+        return
+
+
 def stash(df: DataFrame, tag: str) -> DataFrame:
-    """Writes df as a shared Parquet table and reads it back: cuts lineage, survives lost executors."""
+    """Writes df as a shared Parquet table and reads it back: cuts lineage, survives lost executors.
+
+    The table stays until the application's Python driver ends, as a lazy result may read it until then.
+    ``drop_stashed`` deletes it earlier.
+    """
     spark = df.sparkSession
     path = new_path(spark, tag)
+    context = spark.sparkContext
+    if context.applicationId not in _stored:
+        _stored[context.applicationId] = []
+        atexit.register(_forget, context, _stored[context.applicationId])
+    _stored[context.applicationId].append(path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def drop_stashed(spark: SparkSession) -> None:
+    """Deletes all tables that operators stored for this application; results not yet read are lost."""
+    paths = _stored.get(spark.sparkContext.applicationId, [])
+    remove(spark, *paths)
+    paths.clear()
+
+
 def in_order(df: DataFrame, keys: list[str], tag: str) -> DataFrame:
     """A stored copy of the (narrow) df with ``part``: range partitions of ascending keys.
 

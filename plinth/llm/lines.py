@@ -8,11 +8,12 @@ along a spanning forest (each line reached looks among those not yet reached), s
 pairs. Components come from distributed union-find; the line with the least (id, position) stays.
 
 High recall: two lines of similarity 0.8 share one of 12 bands of 6 values with probability 0.97, at
-0.85 with 0.995. Equal lines are pre-aggregated in each batch before anything is shuffled.
+0.85 with 0.995. A task signs a line once, however often it has it, before anything is shuffled.
 
 Defined cases: blank lines are never removed; a null text stays null; a text that loses all its lines
 is empty; rows with a null id pass unchanged; rows that share an id count as one document (a line of
-theirs at one position stays in each); an empty table gives no rows; other columns, of any name, pass.
+theirs at one position stays in each); lines of any length are compared whole; an empty table gives no
+rows; other columns, of any name, pass, but one named like ``count_col`` gives way to the count.
 """
 
 from __future__ import annotations
@@ -26,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import common
-from .simhash import spanning
+from .simhash import run_starts, spanning, whole_runs
 from .wordhash import Alike
 
 SHINGLE = 8
@@ -35,23 +36,44 @@ LEAST = 0.8
 NONE = np.uint64(0xFFFFFFFF)
 
 
+SEEN = 500_000  # lines that a task remembers to have signed
+
+
 def normal(line: str) -> str:
     return " ".join(line.lower().split())
 
 
+def normal_lines(text: str | None) -> list[str]:
+    """normal() of each line of a text, in order."""
+    out = []
+    for line in (text or "").lower().split("\n"):
+        line = line.strip()
+        out.append(line if line.isprintable() and "  " not in line else " ".join(line.split()))
+    return out
+
+
 def key(line: str) -> int:
     """A 64-bit hash of a normalised line, as a signed long."""
     return (xxhash.xxh3_64_intdigest(line.encode("utf-8", "surrogatepass")) ^ (1 << 63)) - (1 << 63)
 
 
+def polynomial(x: np.ndarray, size: int, base: int = 0x100000001B3) -> np.ndarray:
+    """The polynomial in ``base`` of each ``size`` numbers in a row, modulo 2^64, from those of half as many."""
+    if size == 1:
+        return x
+    half = size // 2
+    h = polynomial(x, half, base)
+    n = max(0, len(x) - 2 * half + 1)
+    h = h[:n] * np.uint64(pow(base, half, 1 << 64)) + h[half : half + n]
+    return h if size == 2 * half else h[: max(0, n - 1)] * np.uint64(base) + x[size - 1 : size - 1 + max(0, n - 1)]
+
+
 def shingle_rows(lines: list[str], size: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
     """(number of the line, hash) of every character shingle; shorter lines are one shingle."""
     padded = [x if len(x) >= size else x + "\0" * (size - len(x)) for x in lines]
     flat = np.frombuffer("".join(padded).encode("utf-32-le", "surrogatepass"), dtype="<u4").astype(np.uint64)
     n = np.array([len(x) for x in padded], dtype=np.int64)
-    h = np.zeros(max(0, len(flat) - size + 1), dtype=np.uint64)
-    for i in range(size):
-        h = h * np.uint64(0x100000001B3) + flat[i : i + len(h)]
+    h = polynomial(flat, size)
     h = (h ^ (h >> np.uint64(31))) * np.uint64(0x9E3779B97F4A7C15)
     h ^= h >> np.uint64(32)
     count = n - size + 1
@@ -102,8 +124,8 @@ def runs(batches: Iterator[pa.RecordBatch], columns: int) -> Iterator[list[list]
 def _distinct_lines(batch: pa.RecordBatch, column: int, at: int, n: int) -> dict[int, str]:
     found: dict[int, str] = {}
     for text in batch.column(column).slice(at, n).to_pylist():
-        for line in (text or "").split("\n"):
-            if line := normal(line):
+        for line in normal_lines(text):
+            if line:
                 found.setdefault(key(line), line)
     return found
 
@@ -112,9 +134,13 @@ def candidates(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """Rows (bucket, line): distinct candidate sets of two or more lines, each under a hash of its members."""
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()
         for batch in batches:
-            for at in range(0, batch.num_rows, 500):
-                found = _distinct_lines(batch, 0, at, 500)
+            for at in range(0, batch.num_rows, 2000):
+                found = {k: x for k, x in _distinct_lines(batch, 0, at, 2000).items() if k not in seen}
+                if len(seen) > SEEN:
+                    seen.clear()
+                seen.update(found)
                 lines, keys = list(found.values()), np.fromiter(found, dtype=np.int64, count=len(found))
                 size, begin = 0, 0
                 for i, line in enumerate([*lines, None]):
@@ -127,73 +153,83 @@ def candidates(docs: DataFrame, text_col: str = "text") -> DataFrame:
                         size, begin = 0, i + 1
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rest: tuple[np.ndarray, np.ndarray] | None = None
-
-        def of(bucket: np.ndarray, line: np.ndarray) -> pa.RecordBatch:
-            new = np.r_[True, (bucket[1:] != bucket[:-1]) | (line[1:] != line[:-1])] if len(bucket) else np.zeros(0, bool)
+        for bucket, line in whole_runs(batches, 1):
+            some = np.repeat((sizes := run_starts([bucket])[1]) > 1, sizes)  # most buckets have one line
+            order = np.lexsort((line[some], bucket[some]))
+            bucket, line = bucket[some][order], line[some][order]
+            new = np.r_[True, (bucket[1:] != bucket[:-1]) | (line[1:] != line[:-1])][: len(bucket)]
             bucket, line = bucket[new], line[new]
-            starts = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1]]) if len(bucket) else np.zeros(0, np.int64)
-            sizes = np.diff(np.r_[starts, len(bucket)])
-            many = sizes > 1
-            which = np.repeat(np.arange(len(starts)), sizes)
-            chosen = many[which]
-            mixed = (line.view(np.uint64) ^ (line.view(np.uint64) >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9)
-            name = np.add.reduceat(mixed, starts)[which[chosen]] if len(starts) else mixed
-            return pa.RecordBatch.from_arrays([pa.array(name.view(np.int64)), pa.array(line[chosen])], names=["bucket", "line"])
-
-        for batch in batches:
-            if not batch.num_rows:
+            if not len(bucket):
                 continue
-            now = tuple(batch.column(i).to_numpy() for i in (0, 1))
-            if rest is not None:
-                now = tuple(np.concatenate(x) for x in zip(rest, now, strict=True))
-            end = int(np.searchsorted(now[0], now[0][-1]))
-            rest = tuple(x[end:] for x in now)
-            if end:
-                yield of(*(x[:end] for x in now))
-        if rest is not None:
-            yield of(*rest)
+            starts, sizes = run_starts([bucket])
+            chosen = np.repeat(sizes > 1, sizes)
+            mixed = (line.view(np.uint64) ^ (line.view(np.uint64) >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9)
+            name = np.repeat(np.add.reduceat(mixed, starts), sizes)[chosen]
+            yield pa.RecordBatch.from_arrays([pa.array(name.view(np.int64)), pa.array(line[chosen])], names=["bucket", "line"])
 
     signed = common.arrow_map(docs.select(text_col), sign, "bucket long, line long")
-    sets = common.arrow_map(signed.repartition("bucket").sortWithinPartitions("bucket", "line"), meet, "bucket long, line long")
+    # one sort key, so that Spark sorts by radix
+    sets = common.arrow_map(signed.repartition("bucket").sortWithinPartitions("bucket"), meet, "bucket long, line long")
     return sets.distinct()
 
 
+def alike_pairs(words: list[str], least: float) -> np.ndarray:
+    """Of texts 0 and 1, 2 and 3 and so on: whether the Jaccard similarity of their shingle sets is enough."""
+    owner, h = shingle_rows(words)
+    low = np.uint64(64 - max(1, len(words)).bit_length())
+    own = np.unique((owner.astype(np.uint64) << low) | (h >> (np.uint64(64) - low)))  # a text's hashes, each once
+    size = np.bincount((own >> low).astype(np.int64), minlength=len(words))
+    pair = np.sort(((own >> (low + np.uint64(1))) << low) | (own & ((np.uint64(1) << low) - np.uint64(1))))
+    both = pair[1:][pair[1:] == pair[:-1]]
+    shared = np.bincount((both >> low).astype(np.int64), minlength=len(words) // 2)
+    return shared >= least * (size[::2] + size[1::2] - shared)
+
+
 def links(docs: DataFrame, text_col: str = "text", least: float = LEAST) -> DataFrame:
     """Rows (a, b): verified links between distinct lines, by their hashes."""
     sets = common.stash(candidates(docs, text_col), "line-sets")
     common.release(docs.sparkSession)
 
     def texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()
         for batch in batches:
             for at in range(0, batch.num_rows, 2000):
-                found = _distinct_lines(batch, 0, at, 2000)
+                found = {k: x for k, x in _distinct_lines(batch, 0, at, 2000).items() if k not in seen}
+                if len(seen) > SEEN:
+                    seen.clear()
+                seen.update(found)
                 yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.int64()), pa.array(list(found.values()), pa.string())], names=["line", "words"])
 
     wanted = sets.select("line").distinct()
     own = common.arrow_map(docs.select(text_col), texts, "line long, words string").join(wanted, "line", "left_semi")
     own = common.stash(own.groupBy("line").agg(F.min("words").alias("words")), "line-texts")
     common.release(docs.sparkSession)
-    rows = sets.join(own, "line").select("bucket", "line", "words").repartition("bucket").sortWithinPartitions("bucket", "line")
+    rows = sets.join(own, "line").select("bucket", "line", "words").repartition("bucket").sortWithinPartitions("bucket")
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        a, b = [], []
+        twos: list[tuple[list, list]] = []
+        room = 0
+
+        def of(a: list, b: list) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
         def flush() -> pa.RecordBatch:
-            out = pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
-            a.clear()
-            b.clear()
-            return out
+            near = np.flatnonzero(alike_pairs([x for _, words in twos for x in words], least)) if twos else []
+            return of([twos[i][0][0] for i in near], [twos[i][0][1] for i in near])
 
         for _, line, words in runs(batches, 3):
+            if len(line) == 2:  # most sets; many of them are compared at once
+                twos.append((line, words))
+                room += len(words[0]) + len(words[1])
+                if room > 1_000_000:
+                    yield flush()
+                    twos, room = [], 0
+                continue
             owner, h = shingle_rows(words)
             ends = np.searchsorted(owner, np.arange(len(words) + 1))
             alike = Alike([np.unique(h[i:j]) for i, j in zip(ends[:-1], ends[1:], strict=True)], least)
-            for x, y in spanning(len(words), alike.near):
-                a.append(line[x])
-                b.append(line[y])
-            if len(a) > 10_000:
-                yield flush()
+            tree = spanning(len(words), alike.near)
+            yield of([line[x] for x, _ in tree], [line[y] for _, y in tree])
         yield flush()
 
     return common.arrow_map(rows, verify, "a long, b long")
@@ -201,7 +237,10 @@ def links(docs: DataFrame, text_col: str = "text", least: float = LEAST) -> Data
 
 def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: float = LEAST, count_col: str | None = None) -> DataFrame:
     """docs with ``text`` less its repeated lines; with count_col, also the number of lines removed."""
-    spark = docs.sparkSession
+    if count_col and count_col.lower() in (id_col.lower(), text_col.lower()):
+        raise ValueError(f"{count_col!r} can't take the count")
+    docs = docs.drop(count_col) if count_col else docs
+    gone_col, own_col = common.fresh(docs, "gone"), common.fresh(docs, "own")
     roots = common.components(common.stash(links(docs, text_col, least).distinct(), "line-links"))
     kind = docs.schema[id_col].dataType.simpleString()
 
@@ -209,8 +248,8 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least
         for batch in batches:
             which, where, line = [], [], []
             for i, text in enumerate(batch.column(1).to_pylist()):
-                for at, x in enumerate((text or "").split("\n")):
-                    if x := normal(x):
+                for at, x in enumerate(normal_lines(text)):
+                    if x:
                         which.append(i)
                         where.append(at)
                         line.append(key(x))
@@ -219,13 +258,13 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least
     seen = common.arrow_map(docs.select(id_col, text_col).where(F.col(id_col).isNotNull()), place, f"id {kind}, at int, line long")
     named = seen.join(roots, F.col("line") == F.col("node"), "left").select("id", "at", F.coalesce("root", "line").alias("line"))
     named = common.stash(named, "line-places")
-    common.release(spark)
+    common.release(docs.sparkSession)
     first = named.groupBy("line").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("id", "at")).alias("first")).where("n > 1")
     # stored, so that the join below shuffles both sides and Spark can split a line that very many documents have
     first = common.stash(first.select(F.col("line").alias("own"), F.col("first.id").alias("first_id"), F.col("first.at").alias("first_at")), "line-first")
     gone = named.join(first, F.col("line") == F.col("own")).where((F.col("id") != F.col("first_id")) | (F.col("at") != F.col("first_at")))
-    gone = gone.groupBy("id").agg(F.collect_list("at").alias("__plinth_gone")).withColumnRenamed("id", "__plinth_id")
-    joined = docs.join(gone, docs[id_col] == F.col("__plinth_id"), "left").drop("__plinth_id")
+    gone = gone.groupBy("id").agg(F.collect_list("at").alias(gone_col)).withColumnRenamed("id", own_col)
+    joined = docs.join(gone, docs[id_col] == F.col(own_col), "left").drop(own_col)
     where = docs.columns.index(text_col)
     from pyspark.sql.types import LongType, StructField, StructType
 

@@ -2,21 +2,23 @@
 
 Per shard, pairs of neighbouring symbols are replaced by new nonterminals, the most frequent first,
 until no pair occurs twice. A round replaces all pairs at least half as frequent as the most frequent
-one; where occurrences overlap, the left one wins. Buckets of pairs only bound the counts from above:
-the pairs that are replaced are counted exactly, and a pair that occurs once is not looked at again
-until a symbol beside it changes. No rule holds the end id, so every document is a range of symbols of
-its own. A shard keeps its rules, the symbols and each document's first symbol, so any range of ids
-decodes without the rest.
+one; where occurrences overlap, the more frequent pair wins. Pairs are counted exactly, once when they
+appear: afterwards only the counts beside a replacement change, so all rounds together cost about a
+sort of the ids. No rule holds the end id, so every document is a range of symbols of its own.
+
+A shard keeps its rules, how many ids each rule's symbol stands for, the symbols, how many ids precede
+every ``MARK``-th symbol, and each document's first symbol. So a range of ids is found by bisection and
+decoded from the symbols that hold it alone.
 
 File format: a Parquet table with a row per shard: ``part`` and ``shard`` (ascending id order),
 ``part_start`` (ids before it in its part), ``n_tokens``, ``doc_ids``, ``doc_tokens`` and ``blob``.
-The blob, little-endian: b"RPR2", then unsigned 32-bit counts of rules, symbols and documents and the
-first nonterminal; the documents' first symbols as unsigned 32-bit; the rules as pairs and then the
-symbols, both in as many bits each as the largest symbol takes. Blobs of b"RPR1" (rules, their expansion
-lengths, first symbols and symbols in 16 or 32 bits) are still read.
+The blob, little-endian: b"RPR3"; unsigned 32-bit counts of rules, symbols and documents, the first
+nonterminal and the longest expansion; as unsigned 32-bit the documents' first symbols and the marks;
+then, in as many bits each as the largest takes, the expansion lengths, the rules as pairs and the symbols.
 
 Defined cases: a null text is empty (the end id alone); null ids come first and stay null; rows with
-one id keep all, ordered by text; an empty table gives an empty store; other columns are ignored.
+one id keep all, ordered by text; an empty table gives an empty store; other columns, of any name, are
+ignored; a document longer than a shard is a shard of its own; ids are below 2^31.
 """
 
 from __future__ import annotations
@@ -32,69 +34,145 @@ from pyspark.sql import functions as F
 from . import common, tokens
 
 SHARD = 1 << 20  # ids
-LEAST, SHARE, BUCKETS = 2, 2, 1 << 20
+LEAST, SHARE = 2, 2
+GONE = -1
+MARK = 256  # symbols between two marks of how many ids precede
 SCHEMA = "part int, shard int, part_start long, n_tokens long, doc_ids array<{kind}>, doc_tokens array<long>, blob binary"
 
 
+def grouping(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """An order in which equal pairs stand together: by digits of 16 bits, which is a sort in linear time."""
+    if len(a) < 1000:
+        return np.lexsort((b, a))
+    order = None
+    for x in (b, a):
+        for shift in range(0, int(x.max()).bit_length(), 16):
+            digit = (x >> shift).astype(np.uint16)
+            order = np.argsort(digit, kind="stable") if order is None else order[np.argsort(digit[order], kind="stable")]
+    return np.arange(len(a)) if order is None else order
+
+
+class Pairs:
+    """The pairs of neighbours in a row of symbols: numbered, counted, and where they occur, while symbols are replaced.
+
+    A pair's number is its code; 0 stands for pairs that are never replaced: those with the end id and
+    those that occur too rarely. As each new pair has a new symbol, counts only fall once a code is made.
+    """
+
+    def __init__(self, ids: np.ndarray, end_id: int, least: int):
+        n = len(ids)
+        self.n, self.end_id, self.least = n, end_id, least
+        self.symbols = ids.astype(np.int32)
+        self.ranked = np.zeros(n + 2, dtype=np.int32)  # of the pairs that a round may replace; the last two stand for none
+        self.after = np.arange(1, n + 2, dtype=np.int32)  # the next symbol's place; n behind the last
+        self.before = np.arange(-1, n, dtype=np.int32)
+        self.code = np.zeros(n + 1, dtype=np.int32)
+        self.made = 1
+        self.count, self.rank = np.zeros(1 << 16, dtype=np.int32), np.zeros(1 << 16, dtype=np.int32)
+        self.pair = np.zeros(1 << 16, dtype=np.int64)
+        self.at, self.size = np.zeros(1 << 16, dtype=np.int64), np.zeros(1 << 16, dtype=np.int32)
+        self.places = np.zeros(2 * n + 16, dtype=np.int32)  # of each code, when it was made
+        self.held = 0
+        self.learn(np.arange(n, dtype=np.int32))
+
+    def learn(self, at: np.ndarray) -> None:
+        """Gives the pairs that begin at these places, all of them new, their codes."""
+        self.code[at] = 0
+        follow = self.after[at]
+        there = follow < self.n
+        at, follow = at[there], follow[there]
+        a, b = self.symbols[at], self.symbols[follow]
+        real = (a != self.end_id) & (b != self.end_id)
+        at, key = at[real], (a[real].astype(np.int64) << 32) | b[real]
+        order = grouping(a[real], b[real])
+        key, at = key[order], at[order]
+        starts = np.flatnonzero(np.r_[True, key[1:] != key[:-1]]) if len(key) else np.zeros(0, np.int64)
+        sizes = np.diff(np.r_[starts, len(key)])
+        often = sizes >= self.least
+        at, sizes, key = at[np.repeat(often, sizes)], sizes[often], key[starts[often]]
+        codes = np.arange(self.made, self.made + len(sizes), dtype=np.int32)
+        self.made += len(sizes)
+        while self.made > len(self.count):
+            self.count, self.rank, self.pair, self.at, self.size = (np.r_[x, np.zeros_like(x)] for x in (self.count, self.rank, self.pair, self.at, self.size))
+        while self.held + len(at) > len(self.places):
+            self.places = np.r_[self.places, np.zeros_like(self.places)]
+        self.code[at] = np.repeat(codes, sizes)
+        self.count[codes], self.size[codes], self.pair[codes] = sizes, sizes, key
+        self.at[codes] = self.held + np.cumsum(sizes) - sizes
+        self.places[self.held : self.held + len(at)] = at
+        self.held += len(at)
+
+    def occurrences(self, codes: np.ndarray) -> np.ndarray:
+        """The places where these codes still occur, without those of a pair of one symbol that overlap the one before."""
+        size = self.size[codes]
+        ends = np.cumsum(size)
+        where = self.places[np.repeat(self.at[codes] - (ends - size), size) + np.arange(ends[-1])]
+        where = np.sort(where[self.code[where] == np.repeat(codes, size)])
+        pair = self.pair[self.code[where]]
+        twin = (pair >> 32) == (pair & 0xFFFFFFFF)
+        if twin.any():
+            run = where[twin]
+            begins = np.r_[True, (self.after[run[:-1]] != run[1:]) | (self.code[run[:-1]] != self.code[run[1:]])]
+            begin = np.flatnonzero(begins)
+            place = np.arange(len(run)) - np.repeat(begin, np.diff(np.r_[begin, len(run)]))
+            twin[np.flatnonzero(twin)[place % 2 == 0]] = False
+            where = where[~twin]
+        return where
+
+    def choose(self, floor: int) -> np.ndarray:
+        """Places of pairs that occur ``floor`` times or more, without overlap: the more frequent pair comes first."""
+        codes = np.flatnonzero(self.count[: self.made] >= floor).astype(np.int32)
+        codes = codes[np.argsort(self.count[codes], kind="stable")]
+        rank = self.rank
+        rank[codes] = np.arange(1, len(codes) + 1, dtype=np.int32)
+        where = self.occurrences(codes)
+        own = rank[self.code[where]]
+        found = np.bincount(own, minlength=len(codes) + 1)
+        rare = found < self.least  # overlapping itself only: never often enough
+        self.count[codes[rare[1:]]] = 0
+        if rare[1:].any():
+            some = ~rare[own]
+            where, own = where[some], own[some]
+        self.ranked[where] = own
+        some = (own >= self.ranked[self.after[where]]) & (own >= self.ranked[self.before[where]])
+        self.ranked[where] = 0
+        where, own = where[some], own[some]
+        return where[np.bincount(own, minlength=len(codes) + 1)[own] >= self.least]
+
+    def replace(self, here: np.ndarray, base: int) -> np.ndarray:
+        """Puts new symbols, from ``base`` on, for the pairs at these places. The rules, a row each."""
+        own, second = self.code[here], self.after[here]
+        kept = np.sort(own)
+        kept = kept[np.r_[True, kept[1:] != kept[:-1]]]
+        self.rank[kept] = np.arange(len(kept), dtype=np.int32)
+        behind = self.after[second]
+        outer = self.before[here]
+        self.symbols[second] = GONE
+        outer = outer[(outer >= 0) & (self.symbols[outer] != GONE)]  # their pairs end, too
+        ended = np.bincount(np.concatenate([own, self.code[second], self.code[outer]]))
+        self.count[: len(ended)] -= ended
+        self.symbols[here] = base + self.rank[own]
+        self.code[second] = 0
+        self.after[here] = behind
+        self.before[behind] = here
+        self.learn(np.concatenate([here, outer]))
+        return np.stack([self.pair[kept] >> 32, self.pair[kept] & 0xFFFFFFFF], 1)
+
+
 def compress(ids: np.ndarray, base: int, end_id: int = tokens.END_ID, least: int = LEAST) -> tuple[np.ndarray, np.ndarray]:
     """The symbols that are left, and the rules: rule i makes symbol base + i stand for two symbols.
 
     No pair without the end id is left that occurs ``least`` times without overlap.
     """
-    s = ids.astype(np.int64)
-    rules: list[np.ndarray] = []
+    known = Pairs(ids, end_id, least)
+    rules = [np.zeros((0, 2), dtype=np.int64)]
     made = 0
-    live = s != end_id  # where a pair begins that may occur often enough
-    live[:-1] &= live[1:]
-    live[-1:] = False
-    most = len(s)  # no pair is more frequent
-    while most >= least:
-        at = np.flatnonzero(live)
-        pair = (s[at] << 32) | s[at + 1]
-        bucket = ((pair * np.int64(-7046029254386353131)) >> 40) & (BUCKETS - 1)
-        count = np.bincount(bucket, minlength=BUCKETS)
-        most = min(most, int(count.max()))
-        if most < least:
-            break
-        bound = count[bucket]
-        live[at[bound < least]] = False
-        floor = max(least, -(-most // SHARE))
-        some = bound >= floor
-        at, pair = at[some], pair[some]
-        keys, where, seen = np.unique(pair, return_inverse=True, return_counts=True)
-        wanted = seen >= floor
-        alone = False
-        while True:
-            some = wanted[where]
-            here, found = at[some], where[some]
-            begins = np.flatnonzero(np.diff(here, prepend=-2) != 1)
-            place = np.arange(len(here)) - np.repeat(begins, np.diff(np.append(begins, len(here))))
-            here, found = here[place % 2 == 0], found[place % 2 == 0]
-            kept = np.flatnonzero(np.bincount(found, minlength=len(keys)) >= least)
-            others = np.flatnonzero(wanted & (keys >> 32 != keys & 0xFFFFFFFF))
-            if len(kept) or alone or not len(others):
-                break
-            wanted[:] = False  # these pairs took each other's places: one of them alone has all of its own
-            wanted[others[np.argmax(seen[others])]] = alone = True
-        if not len(kept):
-            most = floor - 1  # at most pairs of one symbol twice, whose occurrences overlap, are left above
-            continue
-        name = np.full(len(keys), -1, dtype=np.int64)
-        name[kept] = base + made + np.arange(len(kept))
-        named = name[found]
-        here, named = here[named >= 0], named[named >= 0]
-        rules.append(np.stack([keys[kept] >> 32, keys[kept] & 0xFFFFFFFF], 1))
-        made += len(kept)
-        s[here] = named
-        before = here[here > 0] - 1
-        live[before] = s[before] != end_id
-        live[here] = False
-        followed = here[here + 2 < len(s)]
-        live[followed] = s[followed + 2] != end_id
-        stays = np.ones(len(s), dtype=bool)
-        stays[here + 1] = False
-        s, live = s[stays], live[stays]
-    return s, np.concatenate(rules) if rules else np.zeros((0, 2), dtype=np.int64)
+    while (most := int(known.count[1 : known.made].max(initial=0))) >= least:
+        here = known.choose(max(least, -(-most // SHARE)))
+        if len(here):
+            rules.append(known.replace(here, base + made))
+            made += len(rules[-1])
+    return known.symbols[known.symbols != GONE].astype(np.int64), np.concatenate(rules)
 
 
 def pack_bits(values: np.ndarray, bits: int) -> bytes:
@@ -111,25 +189,53 @@ def unpack_bits(raw: bytes, bits: int, n: int, at: int) -> tuple[np.ndarray, int
     return np.packbits(wide, axis=1, bitorder="little").view("<u4").ravel(), end
 
 
-def lengths(rules: np.ndarray, base: int) -> np.ndarray:
-    """How many ids each rule's symbol stands for. Rules only name earlier ones, round after round."""
-    out = np.ones(len(rules), dtype=np.int64)
+def rounds(rules: np.ndarray, base: int) -> Iterator[slice]:
+    """Parts of the rules, in order, that only name symbols of the parts before them."""
+    latest = rules.max(axis=1, initial=0) - base  # the last rule that a rule names
     done = 0
-    while done < len(rules):  # a block of rules that only name symbols with known lengths
-        end = done + int(np.argmax((rules[done:] >= base + done).any(1))) if (rules[done:] >= base + done).any() else len(rules)
-        block = rules[done:end]
-        out[done:end] = np.where(block < base, 1, out[np.clip(block - base, 0, None)]).sum(1)
+    while done < len(rules):
+        later = latest[done:] >= done
+        end = done + int(later.argmax()) if later.any() else len(rules)
+        yield slice(done, end)
         done = end
-    return out
 
 
-def expand(symbols: np.ndarray, rules: np.ndarray, base: int) -> np.ndarray:
-    s, rules = symbols.astype(np.int32), rules.astype(np.int32)
+def lengths(rules: np.ndarray, base: int) -> np.ndarray:
+    """How many ids each rule's symbol stands for."""
+    out = np.ones(len(rules) + 1, dtype=np.int64)  # the last one is every id's
+    for part in rounds(rules, base):
+        block = rules[part]
+        out[part] = out[np.where(block < base, -1, block - base)].sum(1)
+    return out[:-1]
+
+
+def strung(flat: np.ndarray, starts: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """The parts of flat with these starts and counts, in a row."""
+    ends = np.cumsum(counts)
+    return flat[np.repeat(starts - (ends - counts), counts) + np.arange(int(ends[-1]) if len(ends) else 0)]
+
+
+def expand(symbols: np.ndarray, rules: np.ndarray, base: int, size: np.ndarray | None = None) -> np.ndarray:
+    """The ids that symbols stand for: each rule is written out once, then strung together."""
+    size = lengths(rules, base) if size is None else size.astype(np.int64)
+    starts = base + np.cumsum(size) - size
+    flat = np.arange(base + int(size.sum()), dtype=np.int32)  # an id stands for itself
+    begin, count = np.r_[np.arange(base), starts], np.r_[np.ones(base, dtype=np.int64), size]
+    for part in rounds(rules, base):
+        block = rules[part].ravel()
+        own = strung(flat, begin[block], count[block])
+        flat[starts[part.start] : starts[part.start] + len(own)] = own
+    return strung(flat, begin[symbols], count[symbols])
+
+
+def expand_some(symbols: np.ndarray, rules: np.ndarray, base: int) -> np.ndarray:
+    """As expand, for few symbols: only rules that they need are followed."""
+    s = symbols.astype(np.int64)
     while len(at := np.flatnonzero(s >= base)):
-        width = np.ones(len(s), dtype=np.int32)
+        width = np.ones(len(s), dtype=np.int64)
         width[at] = 2
         ends = np.cumsum(width)
-        out = np.empty(int(ends[-1]), dtype=np.int32)
+        out = np.empty(int(ends[-1]), dtype=np.int64)
         out[ends - width] = s
         pairs = rules[s[at] - base]
         out[ends[at] - 2], out[ends[at] - 1] = pairs[:, 0], pairs[:, 1]
@@ -137,53 +243,58 @@ def expand(symbols: np.ndarray, rules: np.ndarray, base: int) -> np.ndarray:
     return s
 
 
-def write_blob(docs: list[bytes], base: int, end_id: int) -> bytes:
-    ids = np.frombuffer(b"".join(docs), dtype="<u4")
-    s, rules = compress(ids, max(base, int(ids.max(initial=0)) + 1), end_id)
+def write_blob(docs: list[np.ndarray], base: int, end_id: int) -> bytes:
+    ids = np.concatenate([np.zeros(0, "<u4"), *docs])
     base = max(base, int(ids.max(initial=0)) + 1)
+    s, rules = compress(ids, base, end_id)
     size = lengths(rules, base)
-    width = np.where(s < base, 1, size[np.clip(s - base, 0, max(len(size) - 1, 0))] if len(size) else 1)
+    width = np.r_[size, 1][np.where(s < base, len(size), s - base)]
     starts = np.cumsum(width) - width
-    first = np.searchsorted(starts, np.cumsum([0, *(len(d) // 4 for d in docs[:-1])]))
-    bits = (base + len(rules)).bit_length()
-    return b"".join([b"RPR2", struct.pack("<4I", len(rules), len(s), len(docs), base), first.astype("<u4").tobytes(), pack_bits(rules.ravel(), bits), pack_bits(s, bits)])
+    first = np.searchsorted(starts, np.cumsum([0, *map(len, docs[:-1])]))
+    bits, longest = (base + len(rules)).bit_length(), int(size.max(initial=1))
+    head = struct.pack("<5I", len(rules), len(s), len(docs), base, longest)
+    packed = pack_bits(size, longest.bit_length()), pack_bits(rules.ravel(), bits), pack_bits(s, bits)
+    return b"".join([b"RPR3", head, first.astype("<u4").tobytes(), starts[::MARK].astype("<u4").tobytes(), *packed])
 
 
 class Shard:
     """A blob, opened. ids(), document(k) and range(start, count) decode all, one or any part of its ids."""
 
     def __init__(self, blob: bytes):
-        if blob[:4] not in (b"RPR1", b"RPR2"):
+        if blob[:4] != b"RPR3":
             raise ValueError("not a shard of this format")
-        n_rules, n_symbols, n_docs, self.base = struct.unpack_from("<4I", blob, 4)
-        at = 20
-        if blob[:4] == b"RPR2":
-            bits = (self.base + n_rules).bit_length()
-            self.first = np.frombuffer(blob, "<u4", n_docs, at).astype(np.int64)
-            rules, at = unpack_bits(blob, bits, 2 * n_rules, at + 4 * n_docs)
-            self.rules = rules.reshape(-1, 2).astype(np.int64)
-            self.symbols, _ = unpack_bits(blob, bits, n_symbols, at)
-            return
-        self.rules = np.frombuffer(blob, "<u4", 2 * n_rules, at).reshape(-1, 2).astype(np.int64)
-        self.first = np.frombuffer(blob, "<u4", n_docs, at := at + 12 * n_rules).astype(np.int64)
-        wide = self.base + n_rules > 65_536
-        self.symbols = np.frombuffer(blob, "<u4" if wide else "<u2", n_symbols, at + 4 * n_docs)
+        self.blob = blob
+        n_rules, self.n_symbols, n_docs, self.base, longest = struct.unpack_from("<5I", blob, 4)
+        self.bits = (self.base + n_rules).bit_length()
+        self.first = np.frombuffer(blob, "<u4", n_docs, 24).astype(np.int64)
+        self.marks = np.frombuffer(blob, "<u4", -(-self.n_symbols // MARK), at := 24 + 4 * n_docs)
+        self.lengths, at = unpack_bits(blob, longest.bit_length(), n_rules, at + 4 * len(self.marks))
+        rules, self.at = unpack_bits(blob, self.bits, 2 * n_rules, at)
+        self.rules = rules.reshape(-1, 2).astype(np.int64)
+
+    def symbols(self, start: int = 0, end: int | None = None) -> np.ndarray:
+        """Symbols of a range, unpacked."""
+        end = self.n_symbols if end is None else min(end, self.n_symbols)
+        begin = start - start % 8  # begins a byte
+        return unpack_bits(self.blob, self.bits, end - begin, self.at + begin * self.bits // 8)[0][start - begin :]
 
     def ids(self) -> np.ndarray:
-        return expand(self.symbols, self.rules, self.base).astype("<u4")
+        return expand(self.symbols(), self.rules, self.base, self.lengths).astype("<u4")
 
     def document(self, k: int) -> np.ndarray:
-        end = self.first[k + 1] if k + 1 < len(self.first) else len(self.symbols)
-        return expand(self.symbols[self.first[k] : end], self.rules, self.base).astype("<u4")
+        end = int(self.first[k + 1]) if k + 1 < len(self.first) else self.n_symbols
+        return expand_some(self.symbols(int(self.first[k]), end), self.rules, self.base).astype("<u4")
 
     def range(self, start: int, count: int) -> np.ndarray:
-        s = self.symbols.astype(np.int64)
-        width = np.ones(len(s), dtype=np.int64)
-        width[s >= self.base] = lengths(self.rules, self.base)[s[s >= self.base] - self.base]
-        ends = np.cumsum(width)
-        a, b = np.searchsorted(ends, start, "right"), np.searchsorted(ends, start + count, "left") + 1
-        skip = start - (ends[a] - width[a]) if a < len(s) else 0
-        return expand(s[a:b], self.rules, self.base)[skip : skip + count].astype("<u4")
+        if count <= 0 or not len(self.marks):
+            return np.zeros(0, "<u4")
+        a = int(np.searchsorted(self.marks, start, "right")) - 1
+        b = int(np.searchsorted(self.marks, start + count, "left"))
+        s = self.symbols(a * MARK, b * MARK).astype(np.int64)
+        ends = int(self.marks[a]) + np.cumsum(np.r_[self.lengths, 1][np.where(s < self.base, len(self.lengths), s - self.base)])
+        i, j = int(np.searchsorted(ends, start, "right")), int(np.searchsorted(ends, start + count, "left")) + 1
+        skip = start - (int(ends[i - 1]) if i else int(self.marks[a]))
+        return expand_some(s[i:j], self.rules, self.base)[skip : skip + count].astype("<u4")
 
 
 def write_store(docs: DataFrame, path: str, tokenizer_path: str | None = None, id_col: str = "doc_id", text_col: str = "text", end_id: int = tokens.END_ID, shard_tokens: int = SHARD) -> None:
@@ -201,7 +312,7 @@ def write_store(docs: DataFrame, path: str, tokenizer_path: str | None = None, i
 
         def close() -> pa.RecordBatch:
             long = pa.int64()
-            counts = [len(x) // 4 for x in held]
+            counts = list(map(len, held))
             row = [[part], [shard], [before], [size], [keys], [counts], [write_blob(held, base, end_id)]]
             types = [pa.int32(), pa.int32(), long, long, pa.list_(kind_), pa.list_(long), pa.binary()]
             names = ["part", "shard", "part_start", "n_tokens", "doc_ids", "doc_tokens", "blob"]
@@ -209,12 +320,12 @@ def write_store(docs: DataFrame, path: str, tokenizer_path: str | None = None, i
 
         for batch in batches:
             kind_ = batch.schema.field(0).type
-            for at in range(0, batch.num_rows, 256):
-                some = batch.slice(at, 256)
-                for key, ids in zip(some.column(0).to_pylist(), tokens.encode_all(some.column(1).to_pylist(), tok, end_id), strict=True):
+            for some in tokens.portions(batch, 1):
+                ids, ends = tokens.encode_column(some.column(1), tok, end_id)
+                for key, own in zip(some.column(0).to_pylist(), np.split(ids, ends[:-1]), strict=True):
                     keys.append(key)
-                    held.append(ids)
-                    size += len(ids) // 4
+                    held.append(own)
+                    size += len(own)
                     if size >= shard_tokens:
                         yield close()
                         keys, held, shard, before, size = [], [], shard + 1, before + size, 0

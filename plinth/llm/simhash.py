@@ -136,19 +136,20 @@ def forest(prints: np.ndarray, reference: np.ndarray, radius: int) -> list[tuple
 
 def whole_runs(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[list[np.ndarray]]:
     """Sorted number columns in parts that never end within a run of the first ``keys`` columns."""
-    rest: list[np.ndarray] | None = None
+    held: list[list[np.ndarray]] = []  # the last key's rows so far; it may go on in the next batch
     for batch in batches:
         if not batch.num_rows:
             continue
         now = [batch.column(i).to_numpy() for i in range(batch.num_columns)]
-        if rest is not None:
-            now = [np.concatenate(x) for x in zip(rest, now, strict=True)]
         end = int(np.argmax(np.logical_and.reduce([x == x[-1] for x in now[:keys]])))
-        rest = [x[end:] for x in now]  # the last key may go on in the next batch
-        if end:
+        if held and (end or any(x[0] != y[0] for x, y in zip(now[:keys], held[0], strict=False))):
+            yield [np.concatenate(x) for x in zip(*held, [x[:end] for x in now], strict=True)]
+            held = []
+        elif end:
             yield [x[:end] for x in now]
-    if rest is not None:
-        yield rest
+        held.append([x[end:] for x in now])
+    if held:
+        yield [np.concatenate(x) for x in zip(*held, strict=True)]
 
 
 def run_starts(columns: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:

@@ -23,8 +23,8 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 END_ID = 0
-CACHED = 300_000  # pieces of a generation, about 60 MB; a worker keeps two
-SLICE = 8 << 20  # bytes of a column handled at once
+CACHED = 450_000  # pieces of a generation, about 90 MB; a worker keeps two
+SLICE = 16 << 20  # bytes of a column handled at once
 
 PUNCTUATION = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
 
