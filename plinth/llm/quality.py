@@ -9,10 +9,12 @@ repeated words and lines, word and line lengths) in one-hot bands; and as metada
 size in bytes, words and lines. Labels, language, source and id are never inputs.
 
 It is fitted on the driver on a bounded sample (``SAMPLE`` rows of each class, by the smallest hash of
-the id) of labelled rows that are not held out; features, not texts, are fetched. Scoring is one pass
-without a shuffle. Defined cases: null and empty texts are scored (statistics of nothing); without
+the id) of labelled rows that are not held out, one document row (the least text) of each id; features,
+not texts, are fetched, of at most ``WORDS`` distinct words a text, by slot. Scoring is one pass without
+a shuffle, over whole texts. Defined cases: null and empty texts are scored (statistics of nothing); without
 labels of both classes every score is 0.5; repeated rows are each scored; null ids stay null, and are
-never held out; an empty table gives no rows.
+never held out; ties need no order, as every row has a score of its own; a column named like the score
+gives way to it, other columns pass; very long texts are scored whole; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -32,6 +34,7 @@ from . import common
 
 SLOTS = 1 << 15
 SAMPLE = 3000
+WORDS = 20_000  # distinct words of a text that may be fetched to fit
 FACTORS = 8
 BANDS = 12
 STATISTICS = 16
@@ -133,6 +136,14 @@ def fit(rows: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, epochs: i
     return model
 
 
+def bounded(slots: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The statistics, and the words of the least slots, of a text with very many distinct words."""
+    if len(slots) <= WORDS + STATISTICS:
+        return slots, values
+    kept = np.r_[np.argsort(slots[:-STATISTICS], kind="stable")[:WORDS], np.arange(len(slots) - STATISTICS, len(slots))]
+    return slots[kept], values[kept]
+
+
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", sample: int = SAMPLE) -> Model:
     """Fits on at most ``sample`` rows of each class, none of them held out."""
     known = labels.select(F.col(id_col).alias("k"), F.col(label_col).alias("y")).where(F.col("k").isNotNull() & F.col("y").isin(0, 1) & ~held_out("k")).distinct()
@@ -142,10 +153,12 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
         chosen = part if chosen is None else chosen.union(part)
     # at most 2 * sample rows of two numbers
     rows = docs.select(F.col(id_col).alias("d"), F.col(text_col).alias("t")).join(F.broadcast(chosen), F.col("d") == F.col("k")).select("k", "y", "t")
+    # one row of each id and label, whatever the tables repeat: what is fetched is bounded
+    rows = rows.groupBy("k", "y").agg(F.min("t").alias("t"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [features(t.as_py()) for t in batch.column(2).cast(pa.binary())]
+            found = [bounded(*features(t.as_py())) for t in batch.column(2).cast(pa.binary())]
             slots, values = pa.array([s.tolist() for s, _ in found], pa.list_(pa.int64())), pa.array([x.tolist() for _, x in found], pa.list_(pa.float64()))
             yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.string()), batch.column(1).cast(pa.int64()), slots, values], names=["k", "y", "slots", "values"])
 
@@ -157,6 +170,9 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
 def score(docs: DataFrame, model: Model, text_col: str = "text", out: str = "score", least: float | None = None) -> DataFrame:
     """All columns of docs and ``out``; with ``least``, only rows with at least that score, without it."""
     sent = docs.sparkSession.sparkContext.broadcast((model.bias, model.weights.astype(np.float32), model.factors.astype(np.float32)))
+    if out.lower() == text_col.lower():
+        raise ValueError(f"{out!r} can't take the score")
+    docs = docs.drop(out) if least is None else docs
     where = docs.columns.index(text_col)
     schema = docs.schema if least is not None else StructType([*docs.schema.fields, StructField(out, DoubleType(), False)])
 

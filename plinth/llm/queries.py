@@ -60,10 +60,11 @@ def op6_repair_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op7_shard_compaction(spark: SparkSession, sf_dir: str) -> DataFrame:
     store = shards.ShardStore(spark, common.new_path(spark, "shards"))
     docs = common.table(spark, sf_dir, "documents")
-    for i in range(ARRIVALS):  # the whole table comes in parts by hash of the id, and is compacted as it grows
-        store.append(docs.where(F.pmod(F.xxhash64("doc_id"), F.lit(ARRIVALS)) == i))
+    # the whole table comes in parts by hash of the id, and is compacted as it grows; all files are this query's own
+    parts = docs.withColumn("arrival", F.pmod(F.xxhash64("doc_id"), F.lit(ARRIVALS)).cast("int"))
+    for _ in store.append_all(parts, "arrival"):
         store.compact()
-        store.vacuum()
+        store.vacuum(keep=1)
     return store.read().select("doc_id", "lang", "source", "n_chars", F.sha2(F.col("text").cast("binary"), 256).alias("text_sha256"))
 
 

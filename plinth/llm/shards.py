@@ -6,7 +6,10 @@ shards of up to the target size; each merge is one task over files whose sizes a
 is shuffled. A version is a manifest that lists the shards. It is written to a file of its own and
 renamed to the next number, which fails if another writer took that number first: a commit is there as
 a whole or not at all, readers keep their version, and a failed writer leaves only files that no
-manifest names (``vacuum`` deletes them).
+manifest names. ``vacuum`` deletes those once they are older than a grace period, within which a writer
+must commit; a commit whose files are gone nevertheless is refused. The rename is atomic on HDFS and
+local file systems; on an object store without such a rename the draft is created in place, if absent
+(``create_if_absent=True``), where the store's file system has that.
 
 A manifest has one entry per shard, so it grows with the data divided by the target size.
 Defined cases: an empty arrival adds no shard but is a version; rows of any values, repeated or null,
@@ -18,10 +21,13 @@ from __future__ import annotations
 
 import json
 import math
+import time
 import uuid
+from collections.abc import Iterator
 from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from . import common
@@ -29,11 +35,13 @@ from . import common
 TARGET = 128 << 20
 LEAST = 1 << 20
 FANOUT = 4
+GRACE = 24 * 3600.0  # seconds within which a writer commits what it wrote
 
 
 class ShardStore:
-    def __init__(self, spark: SparkSession, path: str, target: int = TARGET, least: int = LEAST, fanout: int = FANOUT):
+    def __init__(self, spark: SparkSession, path: str, target: int = TARGET, least: int = LEAST, fanout: int = FANOUT, create_if_absent: bool = False):
         self.spark, self.path, self.target, self.least, self.fanout = spark, path.rstrip("/"), target, least, fanout
+        self.create_if_absent = create_if_absent
         self.fs, _ = common.filesystem(spark, path)
 
     def _p(self, name: str):
@@ -61,6 +69,20 @@ class ShardStore:
     def _commit(self, base: dict, schema, shards: list[dict]) -> dict:
         """The next version, or FileExistsError if another writer has made it."""
         made = {"version": base["version"] + 1, "schema": schema, "shards": shards}
+        before = {s["file"] for s in base["shards"]}
+        if gone := [s["file"] for s in shards if s["file"] not in before and not self.fs.exists(self._p(s["file"]))]:
+            raise FileNotFoundError(f"written files are gone, as the commit came after the grace period: {gone[:3]}")
+        if self.create_if_absent:
+            final = self._p(f"manifest/v{made['version']:08d}.json")
+            try:
+                out = self.fs.create(final, False)
+                out.write(json.dumps(made).encode())
+                out.close()
+            except Exception as e:
+                if self.fs.exists(final):
+                    raise FileExistsError(str(final)) from e
+                raise
+            return made
         draft = self._p(f"draft/{uuid.uuid4().hex}.json")
         out = self.fs.create(draft, False)
         out.write(json.dumps(made).encode())
@@ -95,9 +117,24 @@ class ShardStore:
             field["nullable"] = True
         folder = f"data/{uuid.uuid4().hex[:12]}"
         df.write.parquet(f"{self.path}/{folder}")
-        new = self._written(folder)
-        if any(f["bytes"] for f in new):
-            new = [f for f in new if not self._blank(f)]
+        return self._add(schema, self._filled(self._written(folder)))
+
+    def append_all(self, df: DataFrame, arrival: str) -> Iterator[dict]:
+        """Arrivals that come in one table, told apart by a column of few values: written in one pass, committed one by one.
+
+        After each commit the caller may compact. The column itself is not kept; a null is an arrival, too.
+        """
+        own = df.drop(arrival)
+        schema = json.loads(own.schema.json())
+        for field in schema["fields"]:
+            field["nullable"] = True
+        folder = f"data/{uuid.uuid4().hex[:12]}"
+        df.write.partitionBy(arrival).parquet(f"{self.path}/{folder}")
+        parts = sorted(x.getPath().getName() for x in self.fs.listStatus(self._p(folder)) if "=" in x.getPath().getName())
+        for part in parts:  # all rows of a file are of its arrival, so none is empty
+            yield self._add(schema, self._written(f"{folder}/{part}"))
+
+    def _add(self, schema: dict, new: list[dict]) -> dict:
         while True:
             base = self.manifest()
             if base["schema"] not in (None, schema):
@@ -107,10 +144,14 @@ class ShardStore:
             except FileExistsError:
                 continue
 
-    def _blank(self, shard: dict) -> bool:
-        if shard["bytes"] > 64 << 10:
-            return False
-        return not self.spark.read.parquet(f"{self.path}/{shard['file']}").head(1)
+    def _filled(self, shards: list[dict]) -> list[dict]:
+        """Without files that have no rows; small ones are looked at together."""
+        small = [s for s in shards if s["bytes"] <= 64 << 10]
+        if not small:
+            return shards
+        there = self.spark.read.parquet(*[f"{self.path}/{s['file']}" for s in small]).select(F.input_file_name().alias("f")).distinct().collect()
+        names = {r.f.rpartition("/")[2] for r in there}  # at most one row a file of this arrival
+        return [s for s in shards if s["bytes"] > 64 << 10 or s["file"].rpartition("/")[2] in names]
 
     def plan(self, manifest: dict) -> list[list[dict]]:
         """Merges that are due: shards of one tier below the target, in order, up to the target in size."""
@@ -167,18 +208,23 @@ class ShardStore:
             return self.spark.createDataFrame([], kind)
         return self.spark.read.schema(kind).parquet(*[f"{self.path}/{s['file']}" for s in found["shards"]])
 
-    def vacuum(self, keep: int = 1) -> None:
-        """Deletes all but the last ``keep`` versions, and files that no version left names."""
+    def vacuum(self, keep: int = 2, grace: float = GRACE) -> None:
+        """Deletes all but the last ``keep`` versions, and files older than ``grace`` seconds that no version left names.
+
+        A file's age counts from its last change by the store's clock, so a writer that has not committed
+        yet keeps its files. Readers of an older version than those kept lose theirs.
+        """
         versions = self.versions()
         for v in versions[:-keep]:
             self.fs.delete(self._p(f"manifest/v{v:08d}.json"), False)
         named = {s["file"] for v in versions[-keep:] for s in self.manifest(v)["shards"]}
-        folders = {f.rpartition("/")[0] for f in named}
-        for folder in self.fs.listStatus(self._p("data")):
-            name = f"data/{folder.getPath().getName()}"
-            if name not in folders:
-                self.fs.delete(folder.getPath(), True)
-            else:
-                for x in self.fs.listStatus(folder.getPath()):
-                    if x.getPath().getName().endswith(".parquet") and f"{name}/{x.getPath().getName()}" not in named:
-                        self.fs.delete(x.getPath(), False)
+        if not self.fs.exists(self._p("data")):
+            return
+        before = 1000 * (time.time() - grace)
+        found = self.fs.listFiles(self._p("data"), True)
+        top = self.fs.makeQualified(self._p("data")).toString()
+        while found.hasNext():
+            x = found.next()
+            name = "data" + x.getPath().toString().removeprefix(top)
+            if name not in named and x.getModificationTime() < before:
+                self.fs.delete(x.getPath(), False)

@@ -177,7 +177,7 @@ def test_shard_store(spark, tmp_path):
     shards = store.manifest()["shards"]
     assert len(shards) < 14 and store.plan(store.manifest()) == []
     assert store.read(1).count() == 1000  # a reader's version stays
-    store.vacuum()
+    store.vacuum(keep=1, grace=0)
     assert len(store.versions()) == 1 and sorted(map(tuple, store.read().collect())) == want
     with pytest.raises(ValueError, match="schema"):
         store.append(spark.range(1))
@@ -185,3 +185,60 @@ def test_shard_store(spark, tmp_path):
     store._commit(base, base["schema"], base["shards"])
     with pytest.raises(FileExistsError):  # another writer took the number
         store._commit(base, base["schema"], base["shards"])
+
+
+def test_vacuum_spares_a_writer_that_has_not_committed(spark, tmp_path):
+    store = ShardStore(spark, f"file://{tmp_path}/store", least=1_000, fanout=2)
+    store.append(spark.range(10))
+    inner, calls = store._add, []
+
+    def late(schema, new):  # another process vacuums and appends between the write and the commit
+        if not calls:
+            calls.append(1)
+            other = ShardStore(spark, f"file://{tmp_path}/store", least=1_000, fanout=2)
+            other.vacuum(keep=1)
+            other.append(spark.range(10, 20))
+            other.compact()
+            other.vacuum(keep=1)
+        return inner(schema, new)
+
+    store._add = late
+    store.append(spark.range(20, 30))
+    assert sorted(r.id for r in store.read().collect()) == list(range(30))
+
+    def gone(schema, new):  # beyond the grace period the commit is refused, and the store stays whole
+        ShardStore(spark, f"file://{tmp_path}/store").vacuum(keep=1, grace=-60)
+        return inner(schema, new)
+
+    store._add = gone
+    with pytest.raises(FileNotFoundError):
+        store.append(spark.range(30, 40))
+    assert store.read().count() == 30
+
+
+def test_arrivals_in_one_pass(spark, tmp_path):
+    store = ShardStore(spark, f"file://{tmp_path}/store", create_if_absent=True)
+    df = spark.range(100).selectExpr("id", "CAST(id % 3 AS INT) AS part")
+    versions = [v["version"] for v in store.append_all(df, "part")]
+    assert versions == [1, 2, 3] and sorted(r.id for r in store.read().collect()) == list(range(100)) and store.read().columns == ["id"]
+    assert store.read(1).count() in (33, 34)
+
+
+def test_conversations_are_packed_under_three_limits(spark):
+    """The instruction table with real counts: a turn's tokens, of which the assistant's bear loss."""
+    turns = spark.read.parquet("/root/testdata/sf0.001/conversations.parquet").collect()
+    size = {}
+    for r, ids in zip(turns, tokens.encode_all([r.text for r in turns], PATH), strict=True):
+        n, loss = size.get(r.conv_id, (0, 0))
+        size[r.conv_id] = n + len(ids) // 4, loss + len(ids) // 4 * (r.role == "assistant")
+    size = {k: v for k, v in size.items() if v[0] <= 2048 and v[1] <= 1024}
+    table = spark.createDataFrame([(k, *v) for k, v in size.items()], "k long, n int, loss int")
+    rows = packing.pack_examples(table.coalesce(1), "k", "n", "loss", 2048, 8, 1024).collect()
+    bins = {}
+    for r in rows:
+        bins.setdefault(r.sequence_id, []).append(r.k)
+    assert sorted(k for own in bins.values() for k in own) == sorted(size)
+    for own in bins.values():
+        assert len(own) <= 8 and sum(size[k][0] for k in own) <= 2048 and sum(size[k][1] for k in own) <= 1024
+    least = max(sum(n for n, _ in size.values()) / 2048, len(size) / 8, sum(x for _, x in size.values()) / 1024)
+    assert len(bins) <= 1.25 * least + 2
