@@ -173,16 +173,22 @@ def candidates(docs: DataFrame, text_col: str = "text") -> DataFrame:
     return sets.distinct()
 
 
-def alike_pairs(words: list[str], least: float) -> np.ndarray:
-    """Of texts 0 and 1, 2 and 3 and so on: whether the Jaccard similarity of their shingle sets is enough."""
+def alike_first(words: list[str], sizes: np.ndarray, least: float) -> np.ndarray:
+    """Of sets of these sizes in a row: whether each text's shingle set is alike enough to its set's first one."""
     owner, h = shingle_rows(words)
     low = np.uint64(64 - max(1, len(words)).bit_length())
     own = np.unique((owner.astype(np.uint64) << low) | (h >> (np.uint64(64) - low)))  # a text's hashes, each once
-    size = np.bincount((own >> low).astype(np.int64), minlength=len(words))
-    pair = np.sort(((own >> (low + np.uint64(1))) << low) | (own & ((np.uint64(1) << low) - np.uint64(1))))
-    both = pair[1:][pair[1:] == pair[:-1]]
-    shared = np.bincount((both >> low).astype(np.int64), minlength=len(words) // 2)
-    return shared >= least * (size[::2] + size[1::2] - shared)
+    text = (own >> low).astype(np.int64)
+    count = np.bincount(text, minlength=len(words))
+    starts = np.cumsum(sizes) - sizes
+    set_of = np.repeat(np.arange(len(sizes)), sizes)
+    key = (set_of[text].astype(np.uint64) << low) | (own & ((np.uint64(1) << low) - np.uint64(1)))
+    first = np.zeros(len(words), dtype=bool)
+    first[starts] = True
+    known = key[first[text]]
+    hit = known[np.minimum(np.searchsorted(known, key), len(known) - 1)] == key
+    shared = np.bincount(text[hit], minlength=len(words))
+    return shared >= least * (count + count[starts][set_of] - shared)
 
 
 def links(docs: DataFrame, text_col: str = "text", least: float = LEAST) -> DataFrame:
@@ -207,29 +213,35 @@ def links(docs: DataFrame, text_col: str = "text", least: float = LEAST) -> Data
     rows = sets.join(own, "line").select("bucket", "line", "words").repartition("bucket").sortWithinPartitions("bucket")
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        twos: list[tuple[list, list]] = []
+        held: list[tuple[list, list]] = []
         room = 0
 
-        def of(a: list, b: list) -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
-
         def flush() -> pa.RecordBatch:
-            near = np.flatnonzero(alike_pairs([x for _, words in twos for x in words], least)) if twos else []
-            return of([twos[i][0][0] for i in near], [twos[i][0][1] for i in near])
+            """Most sets are alike to their first line as a whole, or have two lines: many of them are compared at once."""
+            a, b = [], []
+            sizes = np.array([len(line) for line, _ in held], dtype=np.int64)
+            near = alike_first([x for _, words in held for x in words], sizes, least) if held else None
+            end = 0
+            for (line, words), n in zip(held, sizes.tolist(), strict=True):
+                found = near[end : end + n]
+                end += n
+                if n == 2 or found.all():
+                    links_ = [(0, i) for i in np.flatnonzero(found).tolist() if i]
+                else:
+                    owner, h = shingle_rows(words)
+                    ends = np.searchsorted(owner, np.arange(n + 1))
+                    links_ = spanning(n, Alike([np.unique(h[i:j]) for i, j in zip(ends[:-1], ends[1:], strict=True)], least).near)
+                a += [line[x] for x, _ in links_]
+                b += [line[y] for _, y in links_]
+            held.clear()
+            return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
         for _, line, words in runs(batches, 3):
-            if len(line) == 2:  # most sets; many of them are compared at once
-                twos.append((line, words))
-                room += len(words[0]) + len(words[1])
-                if room > 1_000_000:
-                    yield flush()
-                    twos, room = [], 0
-                continue
-            owner, h = shingle_rows(words)
-            ends = np.searchsorted(owner, np.arange(len(words) + 1))
-            alike = Alike([np.unique(h[i:j]) for i, j in zip(ends[:-1], ends[1:], strict=True)], least)
-            tree = spanning(len(words), alike.near)
-            yield of([line[x] for x, _ in tree], [line[y] for _, y in tree])
+            held.append((line, words))
+            room += sum(map(len, words))
+            if room > 1_000_000:
+                yield flush()
+                room = 0
         yield flush()
 
     return common.arrow_map(rows, verify, "a long, b long")

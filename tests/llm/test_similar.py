@@ -356,3 +356,30 @@ def test_order_helpers(spark, n):
     assert totals == {i: sum(j * 10 for j in range(i)) for i in range(n)}
     near = {r.k: (r.prev.k, r.next.k) for r in common.neighbours(order, ["k"], ["k"], wrap=True).collect()}
     assert near == {i: ((i - 1) % n, (i + 1) % n) for i in range(n)}
+
+
+def test_lines_are_compared_with_the_first_of_their_set(prose):
+    rng = random.Random(6)
+    sets = []
+    for i in range(60):
+        base = prose(i, 30)
+        sets.append([base] + [base[:k] + "#" * rng.randrange(9) + base[k + rng.randrange(60) :] for k in (rng.randrange(100) for _ in range(rng.randrange(1, 6)))])
+    shingles = lambda x: {x[i : i + lines.SHINGLE] for i in range(len(x) - lines.SHINGLE + 1)}
+    want = [len(shingles(own[0]) & shingles(x)) >= 0.8 * len(shingles(own[0]) | shingles(x)) for own in sets for x in own]
+    found = lines.alike_first([x for own in sets for x in own], lines.np.array([len(own) for own in sets]), 0.8)
+    assert found.tolist() == want and 0.2 < sum(want) / len(want) < 0.95
+
+
+def test_query_of_lines_with_a_hot_line_and_clashing_columns(spark, prose, tmp_path):
+    """One line in every document; the first keeps it. The table has the count's name and internal names already."""
+    hot = prose(1, 25)
+    rows = [(i, f"{hot}\n{prose(10 + i, 30)}", 7, "x") for i in range(150)] + [(None, hot, 7, "x"), (500, None, 7, "x"), (501, "", 7, "x"), (502, prose(9, 30) * 400, 7, "x")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lines_removed int, __gone string")
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    out = {r.doc_id: r for r in queries.op3_line_minhash(spark, str(tmp_path)).collect()}
+    assert len(out) == len(rows) and out[0].lines_removed == 0 and all(out[i].lines_removed == 1 and out[i].n_chars == len(rows[i][1]) - len(hot) - 1 for i in range(1, 150))
+    assert out[None].lines_removed == 0 and out[500].text_sha256 is None and out[501].n_chars == 0 and out[502].lines_removed == 0
+    kept = lines.dedup(docs, count_col="lines_removed")
+    assert kept.columns == ["doc_id", "text", "__gone", "lines_removed"]
+    with pytest.raises(ValueError, match="count"):
+        lines.dedup(docs, count_col="Text")
