@@ -358,16 +358,15 @@ def test_order_helpers(spark, n):
     assert near == {i: ((i - 1) % n, (i + 1) % n) for i in range(n)}
 
 
-def test_lines_are_compared_with_the_first_of_their_set(prose):
+def test_pairs_of_lines_are_compared_at_once(prose):
     rng = random.Random(6)
-    sets = []
-    for i in range(60):
-        base = prose(i, 30)
-        sets.append([base] + [base[:k] + "#" * rng.randrange(9) + base[k + rng.randrange(60) :] for k in (rng.randrange(100) for _ in range(rng.randrange(1, 6)))])
+    words = []
+    for i in range(200):
+        base, k = prose(i, 30), rng.randrange(100)
+        words += [base, base[:k] + "#" * rng.randrange(9) + base[k + rng.randrange(60) :]]
     shingles = lambda x: {x[i : i + lines.SHINGLE] for i in range(len(x) - lines.SHINGLE + 1)}
-    want = [len(shingles(own[0]) & shingles(x)) >= 0.8 * len(shingles(own[0]) | shingles(x)) for own in sets for x in own]
-    found = lines.alike_first([x for own in sets for x in own], lines.np.array([len(own) for own in sets]), 0.8)
-    assert found.tolist() == want and 0.2 < sum(want) / len(want) < 0.95
+    want = [len(shingles(a) & shingles(b)) >= 0.8 * len(shingles(a) | shingles(b)) for a, b in zip(words[::2], words[1::2], strict=True)]
+    assert lines.alike_pairs(words, 0.8).tolist() == want and 0.1 < sum(want) / len(want) < 0.95
 
 
 def test_query_of_lines_with_a_hot_line_and_clashing_columns(spark, prose, tmp_path):
