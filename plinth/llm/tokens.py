@@ -24,7 +24,7 @@ import pyarrow.compute as pc
 
 END_ID = 0
 CACHED = 450_000  # pieces of a generation, about 90 MB; a worker keeps two
-SLICE = 16 << 20  # bytes of a column handled at once
+SLICE = 4 << 20  # bytes of a column handled at once
 
 PUNCTUATION = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
 
