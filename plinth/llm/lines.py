@@ -4,8 +4,8 @@ Lines are compared lower-cased with white space runs as one blank; equal ones sh
 Each distinct line has a one-permutation MinHash signature over its shingles of ``SHINGLE`` characters
 (bins without a shingle borrow from the next, with a mark of the distance) cut into bands. Lines that
 share a band are candidates; per candidate set the exact Jaccard similarity of shingle sets is computed
-along a spanning forest (each line reached looks among those not yet reached), so no set gives all its
-pairs. Components come from distributed union-find; the line with the least (id, position) stays.
+along a spanning forest (each line reached looks among those not yet reached), in many sets at once, so no
+set gives all its pairs. Components come from distributed union-find; the line with the least (id, position) stays.
 
 High recall: two lines of similarity 0.8 share one of 12 bands of 6 values with probability 0.97, at
 0.85 with 0.995. A task signs a line once, however often it has it, before anything is shuffled.
@@ -27,8 +27,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import common
-from .simhash import run_starts, spanning, whole_runs
-from .wordhash import Alike
+from .simhash import run_starts, whole_runs
+from .wordhash import strung
 
 SHINGLE = 8
 BANDS, ROWS = 12, 6
@@ -173,16 +173,43 @@ def candidates(docs: DataFrame, text_col: str = "text") -> DataFrame:
     return sets.distinct()
 
 
-def alike_pairs(words: list[str], least: float) -> np.ndarray:
-    """Of texts 0 and 1, 2 and 3 and so on: whether the Jaccard similarity of their shingle sets is enough."""
+def forests(words: list[str], sets: np.ndarray, least: float) -> tuple[np.ndarray, np.ndarray]:
+    """Spanning links (x, y) of the lines of many sets, numbered from 0 and ascending, by exact Jaccard similarity.
+
+    All sets go on together: a round compares one reached line of each with those of its set not yet
+    reached; where none is left to look from, it is the first of the others.
+    """
+    n = len(words)
     owner, h = shingle_rows(words)
-    low = np.uint64(64 - max(1, len(words)).bit_length())
-    own = np.unique((owner.astype(np.uint64) << low) | (h >> (np.uint64(64) - low)))  # a text's hashes, each once
-    size = np.bincount((own >> low).astype(np.int64), minlength=len(words))
-    pair = np.sort(((own >> (low + np.uint64(1))) << low) | (own & ((np.uint64(1) << low) - np.uint64(1))))
-    both = pair[1:][pair[1:] == pair[:-1]]
-    shared = np.bincount((both >> low).astype(np.int64), minlength=len(words) // 2)
-    return shared >= least * (size[::2] + size[1::2] - shared)
+    low = np.uint64(64 - max(1, n).bit_length())
+    rest = (np.uint64(1) << low) - np.uint64(1)
+    own = np.unique((owner.astype(np.uint64) << low) | (h >> (np.uint64(64) - low)))  # a line's hashes, each once
+    line = (own >> low).astype(np.int64)
+    _, code = np.unique((sets[line].astype(np.uint64) << low) | (own & rest), return_inverse=True)  # a set's hashes, numbered
+    size = np.bincount(line, minlength=n)
+    first = np.cumsum(size) - size
+    mark = np.zeros(len(code), dtype=bool)
+    reached, free, done = range(3)
+    state = np.full(n, free)
+    left, links = np.arange(n), [np.zeros((2, 0), dtype=np.int64)]
+    while len(left):
+        starts, sizes = run_starts([sets[left]])
+        x = np.minimum.reduceat(state[left] * n + left, starts) % n
+        state[x] = done
+        other = state[left] == free
+        y, x_of = left[other], np.repeat(x, sizes)[other]
+        if len(y):
+            seen = strung(code, first[x], size[x])
+            mark[seen] = True
+            shared = np.add.reduceat(mark[strung(code, first[y], size[y])], np.cumsum(size[y]) - size[y], dtype=np.int64)
+            mark[seen] = False
+            near = shared >= least * (size[y] + size[x_of] - shared)
+            links.append(np.stack([x_of[near], y[near]]))
+            state[y[near]] = reached
+        goes_on = np.logical_or.reduceat(state[left] == free, starts)
+        left = left[np.repeat(goes_on, sizes) & (state[left] != done)]
+    x, y = np.concatenate(links, axis=1)
+    return x, y
 
 
 def links(docs: DataFrame, text_col: str = "text", least: float = LEAST) -> DataFrame:
@@ -207,30 +234,25 @@ def links(docs: DataFrame, text_col: str = "text", least: float = LEAST) -> Data
     rows = sets.join(own, "line").select("bucket", "line", "words").repartition("bucket").sortWithinPartitions("bucket")
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        twos: list[tuple[list, list]] = []
-        room = 0
-
-        def of(a: list, b: list) -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+        held: list[list] = [[], [], []]  # the numbers of the sets, the lines, their words
+        count = room = 0
 
         def flush() -> pa.RecordBatch:
-            near = np.flatnonzero(alike_pairs([x for _, words in twos for x in words], least)) if twos else []
-            return of([twos[i][0][0] for i in near], [twos[i][0][1] for i in near])
-
-        for _, line, words in runs(batches, 3):
-            if len(line) == 2:  # most sets; many of them are compared at once
-                twos.append((line, words))
-                room += len(words[0]) + len(words[1])
-                if room > 1_000_000:
-                    yield flush()
-                    twos, room = [], 0
-                continue
-            owner, h = shingle_rows(words)
-            ends = np.searchsorted(owner, np.arange(len(words) + 1))
-            alike = Alike([np.unique(h[i:j]) for i, j in zip(ends[:-1], ends[1:], strict=True)], least)
-            tree = spanning(len(words), alike.near)
-            yield of([line[x] for x, _ in tree], [line[y] for _, y in tree])
-        yield flush()
+            sets, line, words = held
+            x, y = forests(words, np.array(sets), least)
+            line = np.array(line, dtype=np.int64)
+            return pa.RecordBatch.from_arrays([pa.array(line[x]), pa.array(line[y])], names=["a", "b"])
+
+        for _, line, words in runs(batches, 3):  # many sets are compared at once
+            held[0] += [count] * len(line)
+            held[1] += line
+            held[2] += words
+            count, room = count + 1, room + sum(map(len, words))
+            if room > 1_000_000:
+                yield flush()
+                held, count, room = [[], [], []], 0, 0
+        if count:
+            yield flush()
 
     return common.arrow_map(rows, verify, "a long, b long")
 

@@ -32,6 +32,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import common, tokens
+from .wordhash import strung
 
 SHARD = 1 << 20  # ids
 LEAST, SHARE = 2, 2
@@ -209,12 +210,6 @@ def lengths(rules: np.ndarray, base: int) -> np.ndarray:
     return out[:-1]
 
 
-def strung(flat: np.ndarray, starts: np.ndarray, counts: np.ndarray) -> np.ndarray:
-    """The parts of flat with these starts and counts, in a row."""
-    ends = np.cumsum(counts)
-    return flat[np.repeat(starts - (ends - counts), counts) + np.arange(int(ends[-1]) if len(ends) else 0)]
-
-
 def expand(symbols: np.ndarray, rules: np.ndarray, base: int, size: np.ndarray | None = None) -> np.ndarray:
     """The ids that symbols stand for: each rule is written out once, then strung together."""
     size = lengths(rules, base) if size is None else size.astype(np.int64)

@@ -358,15 +358,40 @@ def test_order_helpers(spark, n):
     assert near == {i: ((i - 1) % n, (i + 1) % n) for i in range(n)}
 
 
-def test_pairs_of_lines_are_compared_at_once(prose):
+def test_sets_of_lines_are_compared_at_once(prose):
+    """Links of sets of 2 to 40 lines are similar, within one set, a forest, and connect what all pairs connect."""
     rng = random.Random(6)
-    words = []
-    for i in range(200):
-        base, k = prose(i, 30), rng.randrange(100)
-        words += [base, base[:k] + "#" * rng.randrange(9) + base[k + rng.randrange(60) :]]
-    shingles = lambda x: {x[i : i + lines.SHINGLE] for i in range(len(x) - lines.SHINGLE + 1)}
-    want = [len(shingles(a) & shingles(b)) >= 0.8 * len(shingles(a) | shingles(b)) for a, b in zip(words[::2], words[1::2], strict=True)]
-    assert lines.alike_pairs(words, 0.8).tolist() == want and 0.1 < sum(want) / len(want) < 0.95
+    words, sets = ["", "ab"], [0, 0]
+    for i in range(1, 120):
+        base, previous = prose(i, 30), ""
+        for _ in range(rng.choice([2, 2, 3, 5, 40])):
+            k = rng.randrange(100)
+            start = rng.choice([base, previous or base])  # chains as well as stars
+            previous = start[:k] + "#" * rng.randrange(5) + start[k + rng.randrange(30) :]
+            words.append(previous)
+            sets.append(i)
+    padded = [x + "\0" * (lines.SHINGLE - len(x)) for x in words]
+    shingles = [{x[j : j + lines.SHINGLE] for j in range(len(x) - lines.SHINGLE + 1)} for x in padded]
+    alike = lambda a, b: len(shingles[a] & shingles[b]) >= 0.8 * len(shingles[a] | shingles[b])
+
+    def roots(links):
+        root = list(range(len(words)))
+        for a, b in links:
+            while root[a] != a:
+                a = root[a]
+            while root[b] != b:
+                b = root[b]
+            root[max(a, b)] = min(a, b)
+        for i in range(len(root)):
+            root[i] = root[root[i]]
+        return root
+
+    x, y = lines.forests(words, np.array(sets), 0.8)
+    found = list(zip(x.tolist(), y.tolist(), strict=True))
+    assert all(sets[a] == sets[b] and alike(a, b) for a, b in found)
+    pairs = [(a, b) for a in range(len(words)) for b in range(a + 1, len(words)) if sets[a] == sets[b] and alike(a, b)]
+    want = roots(pairs)
+    assert roots(found) == want and len(found) == len(words) - len(set(want)) and 200 < len(found) < len(pairs)
 
 
 def test_query_of_lines_with_a_hot_line_and_clashing_columns(spark, prose, tmp_path):
