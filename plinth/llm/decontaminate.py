@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
 from . import common, simhash
-from .wordhash import PLAIN, shingle_hashes, word_hashes
+from .wordhash import PLAIN, distinct, shingle_hashes, word_hashes
 
 BLOCK = 4096  # items
 BLOCK_BYTES = 32 << 20
@@ -53,7 +53,7 @@ class Index:
                 self.ids.append(key)
                 self.words.append(len(words))
                 self.hashes.append(np.sort(shingle_hashes(words, size)))
-        self.known = np.unique(np.concatenate([np.zeros(0, np.uint64), *self.hashes]))
+        self.known = distinct(np.concatenate([np.zeros(0, np.uint64), *self.hashes]))
         self.sieve = np.zeros(1 << SIEVE, dtype=bool)
         self.sieve[(self.known >> np.uint64(64 - SIEVE)).astype(np.int64)] = True
         self.prints = np.array([simhash.majority(h) for h in self.hashes], dtype=np.uint64)
@@ -62,7 +62,7 @@ class Index:
         near = radius // PARTS  # within radius bits, one of the parts differs in so many at most
         flips = [0] + [sum(1 << b for b in c) for k in range(1, near + 1) for c in combinations(range(64 // PARTS), k)]
         self.flips = np.array(flips, dtype=np.int64)
-        self.known_by_length = {n: np.unique(np.concatenate([self.hashes[i] for i in own])) for n, own in self.by_length.items()}
+        self.known_by_length = {n: distinct(np.concatenate([self.hashes[i] for i in own])) for n, own in self.by_length.items()}
         self.blocks = {}
         for n, own in self.by_length.items():
             for k in range(PARTS):
@@ -80,7 +80,7 @@ class Index:
             found += [own[i:j] for i, j in zip(a[b > a], b[b > a], strict=True)]
         if not found:
             return np.zeros(0, dtype=np.int64)
-        own = np.unique(np.concatenate(found))
+        own = distinct(np.concatenate(found))
         return own[np.bitwise_count(self.prints[own] ^ np.uint64(print_)) <= self.radius]
 
     @staticmethod

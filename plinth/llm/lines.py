@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 
 from . import common
 from .simhash import run_starts, whole_runs
-from .wordhash import strung
+from .wordhash import distinct, strung
 
 SHINGLE = 8
 BANDS, ROWS = 12, 6
@@ -183,7 +183,7 @@ def forests(words: list[str], sets: np.ndarray, least: float) -> tuple[np.ndarra
     owner, h = shingle_rows(words)
     low = np.uint64(64 - max(1, n).bit_length())
     rest = (np.uint64(1) << low) - np.uint64(1)
-    own = np.unique((owner.astype(np.uint64) << low) | (h >> (np.uint64(64) - low)))  # a line's hashes, each once
+    own = distinct((owner.astype(np.uint64) << low) | (h >> (np.uint64(64) - low)))  # a line's hashes, each once
     line = (own >> low).astype(np.int64)
     _, code = np.unique((sets[line].astype(np.uint64) << low) | (own & rest), return_inverse=True)  # a set's hashes, numbered
     size = np.bincount(line, minlength=n)
@@ -248,7 +248,7 @@ def links(docs: DataFrame, text_col: str = "text", least: float = LEAST) -> Data
             held[1] += line
             held[2] += words
             count, room = count + 1, room + sum(map(len, words))
-            if room > 1_000_000:
+            if room > 100_000:  # what is made of them stays in the cache
                 yield flush()
                 held, count, room = [[], [], []], 0, 0
         if count:

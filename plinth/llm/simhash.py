@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import common
-from .wordhash import Alike, mix, word_hashes
+from .wordhash import Alike, distinct, mix, word_hashes
 from .wordhash import shingle_hashes as shingle_hashes_of
 
 PIVOTS = 16
@@ -244,7 +244,7 @@ def similar_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
                 for t in part.column(1).cast(pa.binary()):
                     raw = t.as_py() or b""
                     same.append(xxhash.xxh3_128_digest(b" ".join(words_of(raw))))
-                    h = np.unique(shingle_hashes_of(word_hashes(raw), shingle))
+                    h = distinct(shingle_hashes_of(word_hashes(raw), shingle))
                     prints.append(np.r_[np.uint64(majority(h)), band_keys(h)].tobytes())
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(same, pa.binary()), pa.array(prints, pa.binary())], names=["id", "same", "wide"])
 
@@ -300,7 +300,7 @@ def similar_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
                     node, hashes = [], []
                 now = bucket
                 node.append(key)
-                hashes.append(np.unique(shingle_hashes_of(word_hashes(t.as_py()), shingle)))
+                hashes.append(distinct(shingle_hashes_of(word_hashes(t.as_py()), shingle)))
         if node:
             yield of(node, hashes)
 

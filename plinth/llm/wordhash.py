@@ -72,6 +72,12 @@ def shingle_hashes(words: np.ndarray, size: int) -> np.ndarray:
     return mix(out)
 
 
+def distinct(x: np.ndarray) -> np.ndarray:
+    """The distinct numbers, ascending; a sort and a comparison are several times faster than ``np.unique``."""
+    x = np.sort(x)
+    return x[np.r_[True, x[1:] != x[:-1]]] if len(x) else x
+
+
 def strung(flat: np.ndarray, starts: np.ndarray, counts: np.ndarray) -> np.ndarray:
     """The parts of flat with these starts and counts, in a row."""
     ends = np.cumsum(counts)
