@@ -45,12 +45,23 @@ def grouped(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray, int]:
     """An order in which equal pairs stand together, the pairs in it as a << width | b, and the width."""
     width = max(int(a.max(initial=0)), int(b.max(initial=0)), 1).bit_length()
     low = len(a).bit_length()
-    key = (a.astype(np.int64) << width) | b
+    key = a.astype(np.int64)
+    key <<= width
+    key |= b
     if 2 * width + low > 63:
         order = np.argsort(key, kind="stable")
         return order, key[order], width
-    key = np.sort((key << low) | np.arange(len(key)))  # a sort of plain numbers is several times faster than of places
-    return key & ((1 << low) - 1), key >> low, width
+    key <<= low
+    key |= np.arange(len(key))
+    key.sort()  # a sort of plain numbers is several times faster than of places
+    order = key & ((1 << low) - 1)
+    key >>= low
+    return order, key, width
+
+
+def picked(a: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """a[at]; twice as fast, as the places, which are all there, are not looked at first."""
+    return a.take(at, mode="clip")
 
 
 class Pairs:
@@ -62,56 +73,75 @@ class Pairs:
 
     def __init__(self, ids: np.ndarray, end_id: int, least: int):
         n = len(ids)
-        self.n, self.end_id, self.least = n, end_id, least
-        self.symbols = ids.astype(np.int32)
-        self.ranked = np.zeros(n + 2, dtype=np.int32)  # of the pairs that a round may replace; the last two stand for none
-        self.after = np.arange(1, n + 2, dtype=np.int32)  # the next symbol's place; n behind the last
+        self.end_id, self.least = end_id, least
+        self.symbols = np.append(ids, end_id).astype(np.int32)  # an end id stands at place n, before the first and behind the last
+        self.after = np.minimum(np.arange(1, n + 2, dtype=np.int32), n)  # the next symbol's place
         self.before = np.arange(-1, n, dtype=np.int32)
+        self.before[0] = n
         self.code = np.zeros(n + 1, dtype=np.int32)
         self.made = 1
         self.count, self.rank = np.zeros(1 << 16, dtype=np.int32), np.zeros(1 << 16, dtype=np.int32)
-        self.pair = np.zeros(1 << 16, dtype=np.int64)
+        self.pair, self.twin = np.zeros(1 << 16, dtype=np.int64), np.zeros(1 << 16, dtype=bool)
         self.at, self.size = np.zeros(1 << 16, dtype=np.int64), np.zeros(1 << 16, dtype=np.int32)
         self.places = np.zeros(2 * n + 16, dtype=np.int32)  # of each code, when it was made
         self.held = 0
-        self.learn(np.arange(n, dtype=np.int32))
+        self.alive = np.zeros(0, dtype=np.int64)  # codes that may still occur often enough
+        self.name(self.symbols[:-1], self.symbols[1:])
 
     def learn(self, at: np.ndarray) -> None:
         """Gives the pairs that begin at these places, all of them new, their codes."""
         self.code[at] = 0
-        follow = self.after[at]
-        there = follow < self.n
-        at, follow = at[there], follow[there]
-        a, b = self.symbols[at], self.symbols[follow]
-        real = (a != self.end_id) & (b != self.end_id)
-        order, key, width = grouped(a[real], b[real])
-        at = at[real][order]
-        starts = np.flatnonzero(np.r_[True, key[1:] != key[:-1]]) if len(key) else np.zeros(0, np.int64)
-        sizes = np.diff(np.r_[starts, len(key)])
-        often = sizes >= self.least
-        at, sizes, key = at[np.repeat(often, sizes)], sizes[often], key[starts[often]]
-        key = ((key >> width) << 32) | (key & ((1 << width) - 1))
-        codes = np.arange(self.made, self.made + len(sizes), dtype=np.int32)
+        a, b = picked(self.symbols, at), picked(self.symbols, picked(self.after, at))
+        # most occur once: those alone with their hash need no sorting
+        bits = (2 * len(a) + 128).bit_length()
+        mark = (a.view(np.uint32) * np.uint32(0x9E3779B1) + b.view(np.uint32) * np.uint32(0x85EBCA77)) >> np.uint32(32 - bits)
+        often = np.flatnonzero(picked(np.bincount(mark.view(np.int32)), mark) >= self.least)
+        self.name(picked(a, often), picked(b, often), picked(at, often))
+
+    def name(self, a: np.ndarray, b: np.ndarray, at: np.ndarray | None = None) -> None:
+        """Codes for those of these pairs that occur often enough; they begin at these places, or at each one."""
+        order, key, width = grouped(a, b)
+        edge = np.ones(len(key), dtype=bool)
+        np.not_equal(key[1:], key[:-1], out=edge[1:])
+        starts = np.flatnonzero(edge)
+        sizes = np.diff(starts, append=len(key))
+        key = picked(key, starts)
+        first, second = key >> width, key & ((1 << width) - 1)
+        often = (sizes >= self.least) & (first != self.end_id) & (second != self.end_id)
+        order = order.compress(np.repeat(often, sizes))
+        at = order if at is None else picked(at, order)
+        sizes, first, second = sizes.compress(often), first.compress(often), second.compress(often)
+        new = np.arange(self.made, self.made + len(sizes))
         self.made += len(sizes)
         while self.made > len(self.count):
-            self.count, self.rank, self.pair, self.at, self.size = (np.r_[x, np.zeros_like(x)] for x in (self.count, self.rank, self.pair, self.at, self.size))
+            self.count, self.rank, self.pair, self.twin, self.at, self.size = (np.r_[x, np.zeros_like(x)] for x in (self.count, self.rank, self.pair, self.twin, self.at, self.size))
         while self.held + len(at) > len(self.places):
             self.places = np.r_[self.places, np.zeros_like(self.places)]
-        self.code[at] = np.repeat(codes, sizes)
-        self.count[codes], self.size[codes], self.pair[codes] = sizes, sizes, key
-        self.at[codes] = self.held + np.cumsum(sizes) - sizes
+        self.code[at] = np.repeat(new.astype(np.int32), sizes)
+        own = slice(self.made - len(sizes), self.made)
+        self.count[own], self.size[own], self.pair[own], self.twin[own] = sizes, sizes, (first << 32) | second, first == second
+        self.at[own] = self.held + np.cumsum(sizes) - sizes
         self.places[self.held : self.held + len(at)] = at
         self.held += len(at)
+        self.alive = np.concatenate([self.alive, new])
+
+    def most(self) -> int:
+        """How often the most frequent pair occurs."""
+        counts = picked(self.count, self.alive)
+        often = np.flatnonzero(counts >= self.least)
+        self.alive, self.counts = picked(self.alive, often), picked(counts, often)
+        return int(self.counts.max(initial=0))
 
     def occurrences(self, codes: np.ndarray) -> np.ndarray:
         """The places where these codes still occur, without those of a pair of one symbol that overlap the one before."""
-        size = self.size[codes]
-        ends = np.cumsum(size)
-        where = self.places[np.repeat(self.at[codes] - (ends - size), size) + np.arange(ends[-1])]
-        where = np.sort(where[self.code[where] == np.repeat(codes, size)])
-        pair = self.pair[self.code[where]]
-        twin = (pair >> 32) == (pair & 0xFFFFFFFF)
-        if twin.any():
+        size = picked(self.size, codes)
+        ends = np.cumsum(size, dtype=np.int64)
+        where = picked(self.places, np.repeat(picked(self.at, codes) - (ends - size), size) + np.arange(ends[-1]))
+        where = where.compress(picked(self.code, where) == np.repeat(codes, size))
+        where.sort()
+        where = where.astype(np.intp)
+        if picked(self.twin, codes).any():
+            twin = picked(self.twin, picked(self.code, where))
             run = where[twin]
             begins = np.r_[True, (self.after[run[:-1]] != run[1:]) | (self.code[run[:-1]] != self.code[run[1:]])]
             begin = np.flatnonzero(begins)
@@ -120,44 +150,51 @@ class Pairs:
             where = where[~twin]
         return where
 
-    def choose(self, floor: int) -> np.ndarray:
-        """Places of pairs that occur ``floor`` times or more, without overlap: the more frequent pair comes first."""
-        codes = np.flatnonzero(self.count[: self.made] >= floor).astype(np.int32)
-        codes = codes[np.argsort(self.count[codes], kind="stable")]
-        rank = self.rank
-        rank[codes] = np.arange(1, len(codes) + 1, dtype=np.int32)
+    def choose(self, floor: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Places of pairs that occur ``floor`` times or more, without overlap, after ``most``: the more frequent pair comes first.
+
+        With them the places of the pairs' second symbols, and the pairs' codes, ascending.
+        """
+        often = np.flatnonzero(self.counts >= floor)
+        codes = picked(picked(self.alive, often), np.argsort(picked(self.counts, often), kind="stable"))
+        self.rank[codes] = np.arange(1, len(codes) + 1, dtype=np.int32)
         where = self.occurrences(codes)
-        own = rank[self.code[where]]
-        found = np.bincount(own, minlength=len(codes) + 1)
-        rare = found < self.least  # overlapping itself only: never often enough
-        self.count[codes[rare[1:]]] = 0
-        if rare[1:].any():
-            some = ~rare[own]
-            where, own = where[some], own[some]
-        self.ranked[where] = own
-        some = (own >= self.ranked[self.after[where]]) & (own >= self.ranked[self.before[where]])
-        self.ranked[where] = 0
-        where, own = where[some], own[some]
-        return where[np.bincount(own, minlength=len(codes) + 1)[own] >= self.least]
-
-    def replace(self, here: np.ndarray, base: int) -> np.ndarray:
-        """Puts new symbols, from ``base`` on, for the pairs at these places. The rules, a row each."""
-        own, second = self.code[here], self.after[here]
-        kept = np.sort(own)
-        kept = kept[np.r_[True, kept[1:] != kept[:-1]]]
-        self.rank[kept] = np.arange(len(kept), dtype=np.int32)
-        behind = self.after[second]
-        outer = self.before[here]
+        own = picked(self.rank, picked(self.code, where))
+        if picked(self.twin, codes).any():
+            rare = np.bincount(own, minlength=len(codes) + 1) < self.least  # overlapping itself only: never often enough
+            self.count[codes[rare[1:]]] = 0
+            some = np.flatnonzero(~picked(rare, own))
+            where, own = picked(where, some), picked(own, some)
+        second = picked(self.after, where)
+        meet = np.flatnonzero(second[:-1] == where[1:])  # one pair's second symbol is the next one's first
+        left, right = picked(own, meet), picked(own, meet + 1)
+        kept = np.ones(len(where), dtype=bool)
+        kept[meet[left < right]] = False
+        kept[meet[left > right] + 1] = False
+        found = np.bincount(own.compress(kept), minlength=len(codes) + 1) >= self.least
+        some = np.flatnonzero(kept & picked(found, own))
+        return picked(where, some), picked(second, some).astype(np.intp), np.sort(codes[found[1:]])
+
+    def replace(self, here: np.ndarray, second: np.ndarray, kept: np.ndarray, base: int) -> np.ndarray:
+        """Puts new symbols, from ``base`` on, for the pairs that ``choose`` gave. The rules, a row each."""
+        own = picked(self.code, here)
+        self.rank[kept] = np.arange(base, base + len(kept), dtype=np.int32)
+        behind = picked(self.after, second).astype(np.intp)
+        outer = picked(self.before, here)
         self.symbols[second] = GONE
-        outer = outer[(outer >= 0) & (self.symbols[outer] != GONE)]  # their pairs end, too
-        ended = np.bincount(np.concatenate([own, self.code[second], self.code[outer]]))
-        self.count[: len(ended)] -= ended
-        self.symbols[here] = base + self.rank[own]
+        outer = outer.compress(picked(self.symbols, outer) != GONE).astype(np.intp)  # their pairs end, too
+        ended = np.concatenate([own, picked(self.code, second), picked(self.code, outer)])
+        if 16 * len(ended) < self.made:
+            np.subtract.at(self.count, ended, np.int32(1))
+        else:
+            self.count[: self.made] -= np.bincount(ended, minlength=self.made)
+        self.symbols[here] = picked(self.rank, own)
         self.code[second] = 0
         self.after[here] = behind
         self.before[behind] = here
         self.learn(np.concatenate([here, outer]))
-        return np.stack([self.pair[kept] >> 32, self.pair[kept] & 0xFFFFFFFF], 1)
+        pairs = picked(self.pair, kept)
+        return np.stack([pairs >> 32, pairs & 0xFFFFFFFF], 1)
 
 
 def compress(ids: np.ndarray, base: int, end_id: int = tokens.END_ID, least: int = LEAST) -> tuple[np.ndarray, np.ndarray]:
@@ -168,26 +205,28 @@ def compress(ids: np.ndarray, base: int, end_id: int = tokens.END_ID, least: int
     known = Pairs(ids, end_id, least)
     rules = [np.zeros((0, 2), dtype=np.int64)]
     made = 0
-    while (most := int(known.count[1 : known.made].max(initial=0))) >= least:
-        here = known.choose(max(least, -(-most // SHARE)))
+    while (most := known.most()) >= least:
+        here, second, kept = known.choose(max(least, -(-most // SHARE)))
         if len(here):
-            rules.append(known.replace(here, base + made))
+            rules.append(known.replace(here, second, kept, base + made))
             made += len(rules[-1])
-    return known.symbols[known.symbols != GONE].astype(np.int64), np.concatenate(rules)
+    symbols = known.symbols[:-1]
+    return symbols[symbols != GONE].astype(np.int64), np.concatenate(rules)
 
 
 def pack_bits(values: np.ndarray, bits: int) -> bytes:
     """Numbers below 2^bits, each in so many bits."""
-    wide = np.unpackbits(values.astype("<u4").view(np.uint8).reshape(-1, 4), axis=1, bitorder="little")
-    return np.packbits(wide[:, :bits], bitorder="little").tobytes()
+    wide = np.unpackbits(values.astype("<u4").view(np.uint8).reshape(-1, 4), axis=1, count=bits, bitorder="little")
+    return np.packbits(wide, bitorder="little").tobytes()
 
 
 def unpack_bits(raw: bytes, bits: int, n: int, at: int) -> tuple[np.ndarray, int]:
     """n packed numbers from a place in the bytes, and the place behind them."""
     end = at + (n * bits + 7) // 8
-    wide = np.zeros((n, 32), dtype=np.uint8)
-    wide[:, :bits] = np.unpackbits(np.frombuffer(raw, np.uint8, end - at, at), count=n * bits, bitorder="little").reshape(n, bits)
-    return np.packbits(wide, axis=1, bitorder="little").view("<u4").ravel(), end
+    padded = raw[at:end] + bytes(8)
+    begin = np.arange(n, dtype=np.int64) * bits
+    words = np.ndarray(len(padded) - 7, "<u8", padded, strides=(1,))  # the eight bytes from each byte on
+    return ((words[begin >> 3] >> (begin & 7).astype(np.uint64)) & np.uint64((1 << bits) - 1)).astype("<u4"), end
 
 
 def rounds(rules: np.ndarray, base: int) -> Iterator[slice]:

@@ -40,6 +40,28 @@ def test_long_texts_are_cut_safely(monkeypatch):
     assert np.frombuffer(tokens.encode([text], PATH)[0], "<u4").tolist() == ids_of(text)
 
 
+def test_new_words_take_few_calls_of_the_library(monkeypatch):
+    rng = random.Random(7)
+    syllables = ["an", "the", "re", "é", "ß", "ing", "日", "o", "wh", "ñu"]
+    words = {"".join(rng.choice(syllables) for _ in range(rng.randint(2, 7))) for _ in range(3000)}
+    odd = ["«mot»", "a\u180e", "b\u200b", "c\xa0", "x<|endoftext|>", "—y", "don’t", "\u3000z", "w\x1c", "a\xad"]
+    some, called, piece = sorted(words) + odd * 2, [], tokens.Encoder.piece
+    rng.shuffle(some)
+    monkeypatch.setattr(tokens, "_loaded", {})
+    monkeypatch.setattr(tokens, "TOGETHER", 700)
+    monkeypatch.setattr(tokens.Encoder, "piece", lambda self, raw: called.append(raw) or piece(self, raw))
+    text = " ".join(["", *some])
+    assert np.frombuffer(tokens.encode([text], PATH)[0], "<u4").tolist() == ids_of(text)
+    assert len(called) < 20  # a call each for 3,000 before
+
+
+def test_pieces_of_other_widths_are_encoded_one_by_one(monkeypatch):
+    monkeypatch.setattr(tokens, "_loaded", {})
+    tokens.load(PATH).width[ids_of("§")[0]] += 1  # as of a special token whose name has other bytes
+    text = "a §5 b§ §c § d e"
+    assert np.frombuffer(tokens.encode([text], PATH)[0], "<u4").tolist() == ids_of(text)
+
+
 def check_pieces(rows, want, longest):
     """Every id in exactly one piece, sequences gapless and within the limit; gives the padding."""
     by_doc, by_seq = {}, {}
@@ -140,6 +162,23 @@ def test_repair_goes_on_until_no_pair_occurs_twice(seed):
         assert len(s) < 1000 and shard.base + len(shard.rules) > 65_536
 
 
+def test_repair_sorts_few_of_the_new_pairs(monkeypatch):
+    rng, sorted_, grouped = np.random.default_rng(3), [], repair.grouped
+    monkeypatch.setattr(repair, "grouped", lambda a, b: sorted_.append(len(a)) or grouped(a, b))
+    ids = rng.zipf(1.3, 60_000) % 5000
+    s, rules = repair.compress(ids, 5000)
+    assert repair.expand(s, rules, 5000).tolist() == ids.tolist()
+    assert sum(sorted_[1:]) < 1.2 * (len(ids) - len(s))  # before, all pairs beside a replacement: 1.95 each
+
+
+@pytest.mark.parametrize("bits", [1, 7, 8, 17, 31, 32])
+def test_packed_numbers_come_back(bits):
+    values = np.random.default_rng(bits).integers(0, 1 << bits, 1003)
+    raw = b"abc" + repair.pack_bits(values, bits) + b"rest"
+    back, end = repair.unpack_bits(raw, bits, 1003, 3)
+    assert back.tolist() == values.tolist() and raw[end:] == b"rest"
+
+
 def test_repair_makes_the_most_frequent_pair_first():
     ids = np.array([1, 2, 3] * 50 + [2, 3] * 50 + [5, 6] * 3 + [0])
     s, rules = repair.compress(ids, 100)
